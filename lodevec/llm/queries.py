@@ -1,9 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from lodevec.llm import linededup, mixing
+from lodevec.llm import fingerprint, linededup, mixing, quality, toxicity
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_quality": quality.op6_quality,
     "op8_source_mix": mixing.op8_source_mix,
 }
 
