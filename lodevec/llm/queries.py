@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from lodevec.llm import fingerprint, linededup, mixing, quality, toxicity
+from lodevec.llm import fingerprint, linededup, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_quality": quality.op6_quality,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_source_mix": mixing.op8_source_mix,
 }
 
