@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from lodevec.llm import fingerprint, linededup, mixing, packing, quality, toxicity
+from lodevec.llm import fingerprint, linededup, mixing, neardup, packing, quality, toxicity
 
 QUERIES = {
+    "op10_ngram_jaccard": neardup.op10_ngram_jaccard,
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
