@@ -12,12 +12,11 @@ and any other by 0; equal texts have equal sketches; a null doc_id sorts first;
 follow one another by text hash, so repeated rows give the same result on every run.
 """
 
-from __future__ import annotations
-
 import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -93,8 +92,6 @@ def decode(text: str) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:
     """docs with fingerprint string and distinct_shingles double."""
-    import pandas as pd
-
     @F.pandas_udf("fingerprint string, distinct_shingles double")
     def sketch(s: pd.Series) -> pd.DataFrame:
         own = [bottom(shingles(t or "", width), k) for t in s]
@@ -106,8 +103,6 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, width: int = W
 
 def compare(pairs: DataFrame, a: str = "a", b: str = "b", k: int = K) -> DataFrame:
     """pairs of fingerprint columns with resemblance, containment (of a in b) and merged string."""
-    import pandas as pd
-
     @F.pandas_udf("resemblance double, containment double, merged string")
     def both(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         z = [(decode(p or ""), decode(q or "")) for p, q in zip(x, y)]

@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from lodevec.llm import fingerprint, linededup, mixing, neardup, packing, quality, toxicity
+from lodevec.llm import fingerprint, linededup, mixing, neardup, packing, quality, repeats, toxicity
 
 QUERIES = {
     "op10_ngram_jaccard": neardup.op10_ngram_jaccard,
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_repeated_substrings": repeats.op4_repeated_substrings,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_quality": quality.op6_quality,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
