@@ -63,15 +63,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", k
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> tuple[float, dict[str, float]]:
     """(bias, weight of each feature)."""
-    bags = [[sorted(set(WORD.findall(s))) for s in SENTENCE.findall(t)] for t in texts]
-    of: dict[str, list[str]] = {}
+    number: dict[str, int] = {}  # words by number, so that a bag is a small array
+    bags = [[np.array(sorted({number.setdefault(w, len(number)) for w in WORD.findall(s)}), np.int32) for s in SENTENCE.findall(t)] for t in texts]
+    words = list(number)
 
-    def known(w: str) -> list[str]:
-        if (f := of.get(w)) is None:
-            f = of[w] = features(w)
-        return f
+    def in_doc(bag) -> set[str]:
+        own = np.unique(np.concatenate(bag)).tolist() if bag else []
+        return set(chain.from_iterable(map(features, (words[i] for i in own))))
 
-    in_doc = lambda bag: set(chain.from_iterable(known(w) for w in set(chain.from_iterable(bag))))
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return -30.0, {}
@@ -92,13 +91,13 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int =
     best = sorted((f for f in z if z[f] > MIN_Z), key=lambda f: (-z[f], f))[:FEATURES]
     at = {f: i for i, f in enumerate(best)}
     doc_of, s_of, f_of, k = [], [], [], 0  # doc of each sentence; sentence and feature of each entry
-    ids: dict[str, list[int]] = {}
+    ids: dict[int, list[int]] = {}
     for d, bag in enumerate(bags):
         for s in bag:
             hit: set[int] = set()
-            for w in s:
+            for w in s.tolist():
                 if (x := ids.get(w)) is None:
-                    x = ids[w] = [at[f] for f in known(w) if f in at]
+                    x = ids[w] = [at[f] for f in features(words[w]) if f in at]
                 hit.update(x)
             doc_of.append(d)
             s_of.extend([k] * len(hit))
