@@ -35,10 +35,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
-    """Rows (doc_id, source, size, h): h orders a source's stream."""
+def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = SEED, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Rows (doc_id, source, size, h) and more columns of docs: h orders a source's stream."""
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), h.alias("h"))
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), h.alias("h"), *more)
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -129,7 +129,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", so
     """docs after the mix, same columns: as many copies of each document as the mix takes whole, and for the
     one document per source where the last epoch ends, its first words. `count`, if there, is made anew."""
     row = lambda seed: F.xxhash64(F.col(key), F.col(source), F.col(text), F.isnull(key), F.isnull(source), F.isnull(text), F.lit(seed))
-    m = mix(sizes(docs, text, key, source).withColumns({"__a": row(0), "__b": row(1)}), **how)
+    m = mix(sizes(docs, text, key, source, more=(row(0).alias("__a"), row(1).alias("__b"))), **how)
     m = m.groupBy("__a", "__b").agg(F.sum("taken").alias("__taken"), F.first("size").alias("__size"), F.count("*").alias("__rows")).where("__taken > 0")
     d = docs.withColumns({"__a": row(0), "__b": row(1)}).join(m, ["__a", "__b"])
     d = d.withColumn("__j", F.row_number().over(Window.partitionBy("__a", "__b").orderBy("__a")))  # equal rows share their copies evenly

@@ -225,7 +225,7 @@ KINDS = (
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
     ("card", r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{4}([ -])\d{6}\4\d{5})(?![\d-])", _card),
-    ("phone", r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", _phone),
+    ("phone", r"(?<![\w+-])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<!\.)\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)", _phone),
 )
 # every value has a digit, an @ or a secret's prefix; patterns are tried only around those
 _HINT = re.compile(r"(?:[0-9@]|AKIA|gh[pousr]_|sk[-_]|xox[abprs]-)(?:.{0,24}[0-9@])*", re.S)
