@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS, TRAIN_CHARS, FEATURES, MIN_Z, STEPS = 5000, 24_000_000, 3000, 5.0, 250
+TRAIN_DOCS, TRAIN_CHARS, FEATURES, MIN_Z, STEPS, RIDGE = 4000, 20_000_000, 3000, 3.5, 250, 5e-5
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
 CACHE = 300_000
 
@@ -117,7 +117,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int =
         # d(log-likelihood)/dz: label 0: -sigmoid(z); label 1: sigmoid(z) (1 - p) / p
         g = np.where(y == 1, (1 - p) / p, -1.0) * weights
         gs = g[doc_of] * ps
-        grad = np.append(np.bincount(f_of, gs[s_of], len(best)), gs.sum()) - 1e-5 * np.append(theta[:-1], 0)
+        grad = np.append(np.bincount(f_of, gs[s_of], len(best)), gs.sum()) - RIDGE * np.append(theta[:-1], 0)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         theta += 0.15 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     return float(theta[-1]), {f: float(theta[i]) for f, i in at.items() if abs(theta[i]) > 1e-3}
