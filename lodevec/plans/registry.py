@@ -1,4 +1,606 @@
-"""Registered queries and their SQL."""
+"""Queries over the test tables, one or more for each operator, and the SQL that says the same."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodevec.functions import sizing, vectors
+from lodevec.functions import text as T
+from lodevec.operators import chunking, hybrid, ivf, search, store
+from lodevec.sources import embed, files, ndjson
+from lodevec.streaming import ingest
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- views
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with the text, time and tags that share their id."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
+    v = table(spark, d, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    q = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
+    c = e.join(t, "id", "left").join(v, "id", "left").join(q, "id", "left")
+    return c.withColumns({"text": F.coalesce("text", F.lit("")), "ts": F.coalesce("ts", F.lit(""))})
+
+
+def tombs(c: DataFrame) -> DataFrame:
+    return c.where("id % 7 = 3").select("id")
+
+
+def q0(spark: SparkSession, d: str, i: int = 0) -> list[float]:
+    row = table(spark, d, "embeddings").where(F.col("vec_id") == i).select("embedding").first()
+    return list(row[0]) if row else [0.0] * 64
+
+
+def scored(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumn("score", T.js_round(F.col("score"), 6)).select(*columns)
+
+
+V = """WITH c AS (
+  SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS v, e.label, coalesce(d.text, '') AS text, d.lang, d.source, d.n_chars,
+    coalesce(strftime(x.ts, '%Y-%m-%dT%H:%M:%SZ'), '') AS ts, l.quality
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN events x ON x.event_id = e.vec_id LEFT JOIN labels l ON l.doc_id = e.vec_id
+), q AS (SELECT v AS qv FROM c WHERE id = 0)"""
+COS = "CASE WHEN sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv)) = 0 THEN 0.0 ELSE list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv))) END"
+L2 = "1.0 / (1.0 + list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - qv[i]) * (v[i] - qv[i]))))"
+R6 = "floor(score * 1000000.0 + 0.5) / 1000000.0 AS score"
+
+
+def _top(score: str, where: str = "true", k: int = 10, more: str = "") -> str:
+    return f"""{V}, s AS (SELECT c.*, {score} AS score FROM c, q WHERE {where})
+SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, {R6}{more} FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT {k}) AS t"""
+
+
+# ---------------------------------------------------------------- scans and counts
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 <> 3")
+def live_scan(spark, d):
+    c = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return search.live(c, tombs(c))
+
+
+@query("SELECT count(*) AS count, count(*) FILTER (WHERE vec_id % 7 <> 3) AS count_live, max(len(embedding)) AS dim FROM embeddings")
+def count_stats(spark, d):
+    c = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").cast("bigint").alias("dim"))
+    t = tombs(c).select("id", F.lit(1).alias("dead"))
+    return c.join(t, "id", "left").agg(F.count("*").alias("count"), F.count(F.when(F.col("dead").isNull(), 1)).alias("count_live"), F.max("dim").alias("dim"))
+
+
+@query("SELECT vec_id AS id, list_sum(CAST(embedding AS DOUBLE[])) AS total FROM embeddings WHERE vec_id BETWEEN 100 AND 199")
+def id_range_scan(spark, d):
+    """Plans with PushedFilters on vec_id and a two-column ReadSchema."""
+    e = table(spark, d, "embeddings").where("vec_id >= 100 AND vec_id < 200")
+    return e.select(F.col("vec_id").alias("id"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+
+
+@query("SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source, lang")
+def namespace_stats(spark, d):
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query(_top("list_dot_product(v, qv)"))
+def topk_ip(spark, d):
+    return scored(search.topk(corpus(spark, d), q0(spark, d), 10, "ip"), "rank", "id", "score")
+
+
+@query(_top(COS))
+def topk_cosine(spark, d):
+    return scored(search.topk(corpus(spark, d), q0(spark, d), 10, "cosine"), "rank", "id", "score")
+
+
+@query(_top(L2))
+def topk_l2(spark, d):
+    return scored(search.topk(corpus(spark, d), q0(spark, d), 10, "l2"), "rank", "id", "score")
+
+
+def _batch(score: str) -> str:
+    return f"""{V}, s AS (SELECT a.id AS query_id, c.id, {score} AS score FROM c, (SELECT id, v AS qv FROM c WHERE id < 5) a),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, r.id, {R6}, substr(c.text, 1, 80) AS snippet FROM r JOIN c USING (id) WHERE rank <= 10"""
+
+
+@query(_batch(COS))
+def batch_topk_cosine(spark, d):
+    """Flagship: each query's ten nearest by cosine, with the text's beginning. Texts join after the cut to ten."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    hits = search.batch_topk(e, e.where("id < 5"), 10, "cosine")
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("snippet"))
+    return scored(hits.join(t, "id", "left").withColumn("snippet", F.coalesce("snippet", F.lit(""))), "query_id", "rank", "id", "score", "snippet")
+
+
+@query(_batch("list_dot_product(v, qv)").replace(", substr(c.text, 1, 80) AS snippet", ""))
+def batch_topk_gemm(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    import numpy as np
+
+    rows = e.where("id < 5").orderBy("id").collect()
+    return scored(search.batch_topk_gemm(e, np.array([r["vector"] for r in rows]), [r["id"] for r in rows], 10, "ip"), "query_id", "rank", "id", "score")
+
+
+@query(_batch(L2).replace(", substr(c.text, 1, 80) AS snippet", ""))
+def batch_topk_l2(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return scored(search.batch_topk(e, e.where("id < 5"), 10, "l2"), "query_id", "rank", "id", "score")
+
+
+@query(_top(COS).replace("id = 0", "id = 17"))
+def topk_by_id(spark, d):
+    return scored(search.topk_by_id(corpus(spark, d), 17, 10), "rank", "id", "score")
+
+
+@query(_top(COS, "c.id % 7 <> 3"))
+def topk_excluding_deleted(spark, d):
+    c = corpus(spark, d)
+    return scored(search.topk(search.live(c, tombs(c)), q0(spark, d), 10), "rank", "id", "score")
+
+
+@query(_top(COS, k=3))
+def match_rank_hit(spark, d):
+    """Hits of 0-based ranks 0 to 2."""
+    hits = search.topk(corpus(spark, d), q0(spark, d), 10)
+    h = [search.hit_at(hits, i) for i in range(3)]
+    return scored(h[0].unionByName(h[1]).unionByName(h[2]), "rank", "id", "score")
+
+
+FROM, TO = "2024-01-05T00:00:00Z", "2024-01-20T12:00:00Z"
+IN = f"(ts = '' OR (ts >= '{FROM}' AND ts <= '{TO}'))"
+
+
+@query(f"""{V}, s AS (SELECT c.*, {COS} AS score FROM c, q), p AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 100),
+f AS (SELECT * FROM p WHERE {IN} ORDER BY score DESC, id LIMIT 10)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, {R6}, ts FROM f""")
+def ts_range_post(spark, d):
+    return scored(search.topk_in_window(corpus(spark, d), q0(spark, d), 10, FROM, TO), "rank", "id", "score", "ts")
+
+
+@query(_top(COS, IN, more=", ts"))
+def ts_range_pre(spark, d):
+    return scored(search.topk_in_window(corpus(spark, d), q0(spark, d), 10, FROM, TO, mode="pre"), "rank", "id", "score", "ts")
+
+
+@query(_top(COS, f"(ts = '' OR ts >= '{FROM}')", more=", ts"))
+def ts_range_open_bounds(spark, d):
+    return scored(search.topk_in_window(corpus(spark, d), q0(spark, d), 10, FROM, "", mode="pre"), "rank", "id", "score", "ts")
+
+
+@query(f"""{V}, s AS (SELECT c.*, CAST(id % 3 AS INTEGER) AS shard, {COS} AS score FROM c, q),
+p AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY score DESC, id) AS n FROM s)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, {R6}, shard FROM (SELECT * FROM p WHERE n <= 10 ORDER BY score DESC, id LIMIT 10) AS t""")
+def shard_merge_topk(spark, d):
+    c = corpus(spark, d)
+    return scored(search.shard_topk([c.where(f"id % 3 = {i}") for i in range(3)], q0(spark, d), 10), "rank", "id", "score", "shard")
+
+
+@query(f"""{V}, s AS (SELECT c.*, {COS} AS score FROM c, q WHERE lang IN ('en', 'de')),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, id) AS n FROM s)
+SELECT lang AS ns, CAST(n AS INTEGER) AS rank, id, {R6} FROM p WHERE n <= CASE lang WHEN 'en' THEN 8 ELSE 5 END""")
+def namespace_topk(spark, d):
+    c = corpus(spark, d).withColumn("ns", F.col("lang"))
+    return scored(search.namespace_topk(c, q0(spark, d), {"en": 8, "de": 5}), "ns", "rank", "id", "score")
+
+
+@query("""SELECT vec_id AS id, floor(list_dot_product(v, v) * 1000000.0 + 0.5) / 1000000.0 AS square, floor(v[1] * 100000.0 + 0.5) / 100000.0 AS first_component
+FROM (SELECT vec_id, CAST(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3.0 / (3.0 * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))) AS DOUBLE[]) AS v FROM embeddings)""")
+def normalize_vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    v = vectors.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3.0))
+    return e.select(F.col("vec_id").alias("id"), v.alias("v")).select("id", T.js_round(vectors.dot(F.col("v"), F.col("v")), 6).alias("square"), T.js_round(F.get("v", 0).cast("double"), 5).alias("first_component"))
+
+
+@query("SELECT vec_id AS id, 0.0::DOUBLE AS score, true AS no_unit_vector FROM embeddings")
+def zero_vector_scores(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.transform("embedding", lambda x: x * F.lit(0.0).cast("float")).alias("z"))
+    return e.select("id", F.abs(vectors.cosine(F.col("embedding"), F.col("z"))).alias("score"), vectors.l2_normalize(F.col("z")).isNull().alias("no_unit_vector"))
+
+
+# ---------------------------------------------------------------- tags
+
+
+def tagged(spark, d) -> DataFrame:
+    """Documents stored with their tags as a suffix, parsed back; quality is missing for most."""
+    c = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    stored = T.add_tags(F.col("text"), T.tags_json(lang=F.col("lang"), source=F.col("source"), n=F.col("n_chars"), quality=F.col("quality"), long=F.col("n_chars") > 2000))
+    return c.select(F.col("doc_id").alias("id"), T.parse_tags(stored).alias("tags"))
+
+
+def _tag_query(name: str, wanted: dict, sql: str) -> None:
+    def run(spark, d):
+        return tagged(spark, d).where(T.matches(F.col("tags"), wanted)).select("id")
+
+    run.__name__ = name
+    query(f"WITH t AS (SELECT d.doc_id AS id, lang, source, n_chars AS n, quality, n_chars > 2000 AS long FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) SELECT id FROM t WHERE {sql}")(run)
+
+
+_tag_query("tags_shorthand", {"lang": "de"}, "lang = 'de'")
+_tag_query("tags_eq", {"quality": {"$eq": 1}}, "quality = 1")
+_tag_query("tags_eq_strict_type", {"quality": {"$eq": "1"}}, "false")
+_tag_query("tags_ne", {"quality": {"$ne": 1}}, "quality <> 1")
+_tag_query("tags_in", {"lang": {"$in": ["fr", "es", 5]}}, "lang IN ('fr', 'es')")
+_tag_query("tags_nin", {"quality": {"$nin": [0]}}, "quality IS NULL OR quality <> 0")
+_tag_query("tags_nin_null", {"quality": {"$nin": [0, None]}}, "quality <> 0")
+_tag_query("tags_range", {"n": {"$gt": 500, "$lte": 3000}}, "n > 500 AND n <= 3000")
+_tag_query("tags_gte_lt", {"source": {"$gte": "src1", "$lt": "src3"}}, "source >= 'src1' AND source < 'src3'")
+_tag_query("tags_text_compare", {"n": {"$gt": "9"}}, "CAST(n AS VARCHAR) > '9'")
+_tag_query("tags_precedence", {"quality": {"$eq": 1, "$gt": 5}}, "quality = 1")
+_tag_query("tags_missing_nin_first", {"quality": {"$eq": 1, "$nin": [2]}}, "quality IS NULL OR quality = 1")
+_tag_query("tags_exists", {"quality": {"$exists": True}}, "quality IS NOT NULL")
+_tag_query("tags_not_exists", {"quality": {"$exists": False}}, "quality IS NULL")
+_tag_query("tags_bool", {"long": True}, "long")
+_tag_query("tags_and", {"lang": "en", "quality": {"$gte": 1}, "n": {"$lt": 1500}}, "lang = 'en' AND quality >= 1 AND n < 1500")
+_tag_query("tags_empty", {}, "true")
+_tag_query("tags_empty_predicate", {"quality": {}}, "quality IS NOT NULL")
+
+
+@query("SELECT doc_id AS id, lang, n_chars AS n, text FROM documents")
+def tags_parse_suffix(spark, d):
+    c = table(spark, d, "documents")
+    twice = T.add_tags(T.add_tags(F.col("text"), F.lit('{"a":1}')), T.tags_json(lang=F.col("lang"), n=F.col("n_chars")))
+    c = c.select(F.col("doc_id").alias("id"), twice.alias("s")).withColumn("v", T.parse_tags(F.col("s")))
+    return c.select("id", F.try_variant_get("v", "$.lang", "string").alias("lang"), F.try_variant_get("v", "$.n", "bigint").alias("n"), T.strip_tags(F.col("s")).alias("text"))
+
+
+@query("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 5")
+def tags_event_props(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.try_parse_json("props").alias("v"))
+    return e.where(T.matches(F.col("v"), {"k": {"$gte": 5}})).select("id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
+
+
+# ---------------------------------------------------------------- lexical and hybrid
+
+TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], t))"
+TERMS = "the thing ing tion er"
+
+
+@query(f"SELECT doc_id AS id, {TOK.format('text')} AS tokens FROM documents")
+def tokens(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+
+
+BM = "list_sum(list_transform(qt, lambda x: CASE WHEN len(list_filter(dt, lambda y: y = x)) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(dt, lambda y: y = x))::DOUBLE * 2.5 / (len(list_filter(dt, lambda y: y = x))::DOUBLE + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (len(dt) / a))) END))"
+
+
+@query(f"""WITH b AS (SELECT {TOK.format('text')} AS qt FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
+t AS (SELECT doc_id, {TOK.format('text')} AS dt FROM documents), m AS (SELECT avg(len(dt)) AS a FROM t)
+SELECT doc_id AS id, floor({BM} * 1000000.0 + 0.5) / 1000000.0 AS score FROM t, m, b""")
+def bm25_lite(spark, d):
+    """A benchmark item's text against all documents; the average length is a one-row aggregate."""
+    b = table(spark, d, "benchmark")
+    q = b.orderBy("item_id").limit(1).select(T.tokens(F.col("text")).alias("qt"))
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("dt"))
+    m = t.agg(F.avg(F.size("dt")).alias("a"))
+    return t.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(q)).select("id", T.js_round(T.bm25(F.col("qt"), F.col("dt"), F.col("a")), 6).alias("score"))
+
+
+def _hybrid(fusion: str, terms: str = TERMS, tail: str = "") -> str:
+    fused = "1.0 / (60.0 + ann + 1) + 1.0 / (60.0 + lr + 1)" if fusion == "rrf" else "0.5 * score + 0.5 * lex"
+    none = "len(qt) = 0"
+    return f"""{V}, s AS (SELECT c.*, {COS} AS score FROM c, q), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS ann FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 50) AS t),
+x AS (SELECT *, {TOK.format("'" + terms + "'")} AS qt, {TOK.format('text')} AS dt FROM p), y AS (SELECT *, CASE WHEN avg(len(dt)) OVER () > 0 THEN avg(len(dt)) OVER () ELSE 1.0 END AS a FROM x),
+z AS (SELECT *, coalesce({BM}, 0.0) AS raw FROM y), l AS (SELECT *, raw / greatest(max(raw) OVER (), 1e-9) AS lex FROM z),
+f AS (SELECT *, row_number() OVER (ORDER BY lex DESC, ann) - 1 AS lr FROM l),
+h AS (SELECT id, ann, source, lang, n_chars, floor(score * 10000.0 + 0.5) / 10000.0 AS ann_score, CASE WHEN {none} THEN 0.0 ELSE floor(lex * 10000.0 + 0.5) / 10000.0 END AS lexical_score,
+  floor((CASE WHEN {none} THEN score ELSE {fused} END) * 10000.0 + 0.5) / 10000.0 AS hybrid_score, {none} AS none FROM f),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN none THEN 0.0 ELSE -hybrid_score END, ann) AS INTEGER) AS hybrid_rank FROM h)
+""" + (tail or "SELECT hybrid_rank, id, ann_score, lexical_score, hybrid_score FROM r WHERE hybrid_rank <= 10")
+
+
+def _hybrid_hits(spark, d, fusion, terms=TERMS):
+    pool = search.topk(corpus(spark, d), q0(spark, d), 50)
+    return hybrid.rerank(pool, terms, 10, fusion).select("hybrid_rank", "id", "ann_score", "lexical_score", "hybrid_score")
+
+
+@query(_hybrid("rrf"))
+def hybrid_rrf(spark, d):
+    return _hybrid_hits(spark, d, "rrf")
+
+
+@query(_hybrid("weighted"))
+def hybrid_weighted(spark, d):
+    return _hybrid_hits(spark, d, "weighted")
+
+
+@query(_hybrid("rrf", "the and of"))
+def hybrid_stopwords(spark, d):
+    return _hybrid_hits(spark, d, "rrf", "the and of")
+
+
+@query(_hybrid("rrf", tail="SELECT CAST(row_number() OVER (ORDER BY hybrid_rank) AS INTEGER) AS rank, id, hybrid_score FROM (SELECT * FROM r WHERE lang = 'en' ORDER BY hybrid_rank LIMIT 5) AS t"))
+def hybrid_filtered(spark, d):
+    c = corpus(spark, d).withColumn("tags", F.try_parse_json(T.tags_json(lang=F.col("lang"), source=F.col("source"))))
+    return hybrid.retrieve(c, q0(spark, d), TERMS, 5, hybrid=True, wanted={"lang": "en"}).select("rank", "id", "hybrid_score")
+
+
+@query(_top(COS, "lang = 'en' AND " + IN, 5).replace("1000000.0", "10000.0"))
+def retrieve_prefiltered(spark, d):
+    c = corpus(spark, d).withColumn("tags", F.try_parse_json(T.tags_json(lang=F.col("lang"))))
+    return hybrid.retrieve(c, q0(spark, d), "", 5, start=FROM, end=TO, wanted={"lang": "en"}, mode="pre").select("rank", "id", "score")
+
+
+# ---------------------------------------------------------------- chunking
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(generate_series(0, CAST(greatest(0, ceil((length(text) - 800) / 700.0)) AS BIGINT))) AS i, text FROM documents)
+SELECT doc_id, CAST(i * 700 AS INTEGER) AS "offset", regexp_replace(substr(text, i * 700 + 1, 800), '^\\s+|\\s+$', '', 'g') AS chunk FROM w WHERE regexp_replace(substr(text, i * 700 + 1, 800), '^\\s+|\\s+$', '', 'g') <> ''""")
+def chunk_chars(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(chunking.char_windows(F.col("text"))).alias("c")).select("doc_id", "c.offset", "c.chunk")
+
+
+def _chunked(name: str, mode: str):
+    def run(spark, d):
+        t = table(spark, d, "documents").select("doc_id", "text")
+        return chunking.chunk(t, mode, keep=["doc_id"])
+
+    run.__name__ = name
+    query()(run)
+
+
+for _m in ("line", "section", "paragraph", "tail"):
+    _chunked(f"chunk_{_m}", _m)
+
+
+@query("""SELECT page_id, CASE WHEN regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1) IN ('md', 'rst') THEN 'section' WHEN lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN (""" + ", ".join(f"'{x}'" for x in chunking.CODE) + """) THEN 'line' ELSE 'paragraph' END AS mode FROM pages""")
+def chunk_mode(spark, d):
+    return table(spark, d, "pages").select("page_id", chunking.mode_of(F.col("url")).alias("mode"))
+
+
+# ---------------------------------------------------------------- reduced precision
+
+
+@query("SELECT greatest(1.0::DOUBLE, max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))))) AS scale FROM embeddings")
+def int8_scale(spark, d):
+    return table(spark, d, "embeddings").agg(vectors.int8_scale_of(F.col("embedding")).alias("scale"))
+
+
+@query("""SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round(CAST(x * (127.0::FLOAT / 1.0::FLOAT) AS FLOAT)))) AS TINYINT)) AS codes FROM embeddings""")
+def int8_quantize(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), vectors.quantize_int8(F.col("embedding"), F.lit(1.0)).alias("codes"))
+
+
+@query("SELECT vec_id AS id, true AS close FROM embeddings")
+def int8_roundtrip(spark, d):
+    e = table(spark, d, "embeddings")
+    back = vectors.dequantize_int8(vectors.quantize_int8(F.col("embedding"), F.lit(1.0)), F.lit(1.0))
+    return e.select(F.col("vec_id").alias("id"), F.forall(F.zip_with("embedding", back, lambda a, b: F.abs(a - b)), lambda x: x <= 0.004).alias("close"))
+
+
+@query("SELECT vec_id AS id, true AS close FROM embeddings")
+def fp16_roundtrip(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", vectors.from_float16(vectors.to_float16(F.col("embedding"))).alias("b"))
+    return e.select(F.col("vec_id").alias("id"), F.forall(F.zip_with("embedding", "b", lambda a, b: F.abs(a - b) <= F.abs(a) * 0.001 + 1e-7), lambda x: x).alias("close"))
+
+
+@query("SELECT vec_id AS id, embedding AS vector FROM embeddings")
+def base64_roundtrip(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), vectors.decode_base64(vectors.encode_base64(F.col("embedding")), 64).alias("vector"))
+
+
+# ---------------------------------------------------------------- lifecycle
+
+
+def _scratch() -> str:
+    return tempfile.mkdtemp(prefix="lodevec-query-")
+
+
+def _folder(spark) -> str:
+    """A new folder in the session's shared folder, or a local one where that is unset."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + _scratch()
+    return f"{at}/{os.path.basename(_scratch())}"
+
+
+def _collection(spark, d, **how) -> store.Collection:
+    c = store.Collection(spark, _folder(spark), 64, "cosine", **how)
+    e = table(spark, d, "embeddings").select(F.col("embedding").alias("vector"), F.concat(F.lit("row "), F.col("vec_id")).alias("text"), "vec_id")
+    c.put_batch(e, "vec_id")
+    return c
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS id, 'row ' || vec_id AS text FROM embeddings")
+def put_batch_ids(spark, d):
+    return _collection(spark, d).rows().select("id", "text")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS id, vec_id AS old_id FROM embeddings WHERE vec_id % 7 <> 3")
+def compact_ids(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return store.compacted(e, tombs(e)).select(F.col("new_id").cast("bigint").alias("id"), F.col("id").alias("old_id"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS id, 'row ' || vec_id AS text FROM embeddings WHERE vec_id % 7 <> 3")
+def compact_collection(spark, d):
+    c = _collection(spark, d)
+    c.delete(tombs(c.all_rows()))
+    return c.compact(_folder(spark)).rows().select("id", "text")
+
+
+@query("SELECT vec_id AS id, 'row ' || vec_id AS text FROM embeddings WHERE vec_id <> 2 UNION ALL SELECT count(*) AS id, 'new' AS text FROM embeddings")
+def update_rows(spark, d):
+    c = _collection(spark, d)
+    c.update(2, q0(spark, d, 2), "new")
+    return c.rows().select("id", "text")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id <> 0")
+def delete_by_rank(spark, d):
+    c = _collection(spark, d)
+    c.delete_match(q0(spark, d), 0)
+    return c.rows().select("id")
+
+
+@query(f"SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM ({_top(COS, k=3)}) AS t)")
+def forget_hits(spark, d):
+    c = _collection(spark, d)
+    c.forget(q0(spark, d), 3)
+    return c.rows().select("id")
+
+
+@query(_top(COS, k=5).replace("rank, id,", "rank, id, 'row ' || id AS text,"))
+def collection_search(spark, d):
+    return scored(_collection(spark, d).search(q0(spark, d), 5), "rank", "id", "text", "score")
+
+
+@query("SELECT 'ids' AS \"check\", true AS ok UNION ALL SELECT unnest(['format', 'files', 'rows', 'dim', 'tombstones', 'staged']), true")
+def doctor_checks(spark, d):
+    c = _collection(spark, d)
+    c.delete(5)
+    return c.doctor().select("check", "ok")
+
+
+@query("SELECT count(*) AS count, count(*) - 1 AS count_live, CAST(1 AS BIGINT) AS tombstones, CAST(2 AS BIGINT) AS commits, CAST(1 AS BIGINT) AS n_put_batch, CAST(1 AS BIGINT) AS n_delete FROM embeddings")
+def collection_stats(spark, d):
+    c = _collection(spark, d)
+    c.delete(5)
+    return c.stats().select("count", "count_live", "tombstones", "commits", "n_put_batch", "n_delete")
+
+
+@query("SELECT vec_id AS id, 'row ' || vec_id AS text FROM embeddings WHERE vec_id <> 1")
+def snapshot_restore(spark, d):
+    c = _collection(spark, d)
+    c.delete(1)
+    at = _folder(spark)
+    c.snapshot(at)
+    return store.Collection.restore(spark, at, _folder(spark)).rows().select("id", "text")
+
+
+@query("SELECT unnest(['at the limit', 'one over', 'no limit']) AS \"case\", unnest([true, false, true]) AS allowed")
+def quota_check(spark, d):
+    def ok(*a):
+        try:
+            store.check_quota(*a)
+            return True
+        except store.QuotaError:
+            return False
+
+    return spark.createDataFrame([("at the limit", ok(9, 1, 10)), ("one over", ok(9, 2, 10)), ("no limit", ok(9, 2, 0))], "case string, allowed boolean")
+
+
+@query("SELECT vec_id AS id, embedding AS vector, coalesce(substr(text, 1, 100), '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
+def ndjson_roundtrip(spark, d):
+    c = corpus(spark, d).select("id", "vector", F.substring("text", 1, 100).alias("text"), "ts")
+    at = _folder(spark)
+    ndjson.write_ndjson(c, at)
+    lines = spark.read.text(at)
+    back = ndjson.parse_lines(lines, 64).select("vector", "text")
+    ids = lines.select(F.from_json("value", ndjson.LINE).alias("j")).select("j.id", "j.text", F.col("j.vector").alias("b64"))
+    return ids.select("id", vectors.decode_base64(F.col("b64"), 64).alias("vector"), "text") if back else ids
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id >= 50 AND vec_id < 150 AND vec_id % 7 <> 3")
+def export_range(spark, d):
+    c = corpus(spark, d)
+    return ndjson.export_range(search.live(c, tombs(c)), 50, 150).select(F.from_json("value", ndjson.LINE)["id"].alias("id"))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_ids FROM embeddings")
+def stream_ingest(spark, d):
+    """Two micro-batches of NDJSON files, the second run replaying none."""
+    c = corpus(spark, d).select("id", "vector", F.lit("x").alias("text"), "ts")
+    at = _folder(spark)
+    ndjson.write_ndjson(c.where("id % 2 = 0"), at + "/in/a")
+    to = store.Collection(spark, at + "/collection", 64)
+    ingest.ingest(spark, at + "/in/*", to, at + "/checkpoint")
+    ndjson.write_ndjson(c.where("id % 2 = 1"), at + "/in/b")
+    ingest.ingest(spark, at + "/in/*", to, at + "/checkpoint")
+    ingest.ingest(spark, at + "/in/*", to, at + "/checkpoint")
+    return to.rows().agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, floor(sum(value) * 100.0 + 0.5) / 100.0 AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    w = ingest.tumbling(table(spark, d, "events"))
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", T.js_round(F.col("total"), 2).alias("total"))
+
+
+# ---------------------------------------------------------------- files
+
+
+@query("""WITH f AS (SELECT url AS path, page_id, length(html) AS size FROM pages WHERE page_id % 5 <> 0), m AS (SELECT url AS path, page_id, length(html) + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS size FROM pages WHERE page_id % 4 <> 0)
+SELECT coalesce(f.page_id, m.page_id) AS page_id, CASE WHEN m.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'removed' WHEN f.size = m.size THEN 'unchanged' ELSE 'changed' END AS status,
+CASE WHEN m.path IS NOT NULL AND (f.path IS NULL OR f.size <> m.size) THEN m.page_id END AS dead FROM f FULL OUTER JOIN m ON f.page_id = m.page_id""")
+def manifest_diff(spark, d):
+    p = table(spark, d, "pages").select(F.concat("url", F.lit("#"), "page_id").alias("path"), "page_id", F.lit(0).cast("bigint").alias("mtime_ms"), F.length("html").cast("bigint").alias("size"), F.lit(800).alias("chunk_size"), F.lit("paragraph").alias("chunk_mode"))
+    m = p.where("page_id % 4 <> 0").withColumn("size", F.col("size") + F.when(F.col("page_id") % 3 == 0, 1).otherwise(0)).withColumn("ids", F.array("page_id"))
+    diff = files.manifest_diff(p.where("page_id % 5 <> 0"), m)
+    return diff.select(F.substring_index("path", "#", -1).cast("bigint").alias("page_id"), "status", F.get("ids", 0).alias("dead"))
+
+
+@query("""SELECT conv_id, turn, '[file:' || role || '.txt][chunk:' || turn || '/' || 9 || '] ' || text AS label, role || '.txt' AS path, text AS body, regexp_replace(lower(role || ' Notes!'), '[^a-z0-9]+', '-', 'g') AS slug FROM conversations""")
+def file_labels(spark, d):
+    c = table(spark, d, "conversations")
+    label = T.file_label(F.concat("role", F.lit(".txt")), F.col("turn"), F.lit(9), F.col("text"))
+    c = c.withColumn("label", label)
+    return c.select("conv_id", "turn", "label", T.label_path(F.col("label")).alias("path"), T.strip_label(F.col("label")).alias("body"), T.namespace_slug(F.concat("role", F.lit(" Notes!")), "").alias("slug"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN length(text) > 20000 THEN 'length' END AS problem FROM documents")
+def text_validation(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.text_problem(F.col("text"), 20_000).alias("problem"))
+
+
+@query("SELECT conv_id, turn, nfc_normalize(text) AS text FROM conversations")
+def nfc_texts(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.nfc(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN length(substr(text, 1, doc_id % 3)) = 0 THEN NULL ELSE substr(text, 1, doc_id % 3) END AS text FROM documents")
+def empty_to_null(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.empty_to_null(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 3).cast("int"))).alias("text"))
+
+
+@query("SELECT doc_id AS id, CAST(64 AS INTEGER) AS dim, true AS is_unit FROM documents WHERE regexp_matches(text, '\\w')")
+def hashed_embeddings(spark, d):
+    t = table(spark, d, "documents").where(F.col("text").rlike(r"\w"))
+    e = t.select(F.col("doc_id").alias("id"), embed.hashing_embedder(64)(F.col("text")).alias("v"))
+    return e.select("id", F.size("v").alias("dim"), (F.abs(vectors.norm(F.col("v")) - 1) < 1e-5).alias("is_unit"))
+
+
+# ---------------------------------------------------------------- approximate index and sizes
+
+
+@query("SELECT CAST(5 AS BIGINT) AS n_queries, 1.0::DOUBLE AS recall")
+def recall_at_k(spark, d):
+    """Exact against exact."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    a = search.batch_topk(e, e.where("id < 5"), 10)
+    return search.recall_at_k(a, a, 10)
+
+
+@query()
+def ivf_recall(spark, d):
+    """Half of 16 inverted lists, against exact."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    c = ivf.fit(e, 16)
+    q = e.where("id < 20")
+    return search.recall_at_k(ivf.batch_probe(ivf.assign(e, c), c, q, 10, 8), search.batch_topk(e, q, 10), 10)
+
+
+@query("""SELECT n_rows, dim, 32 + n_rows * dim * 4 AS vector_bytes, n_rows * 16 * 9 AS index_bytes, CAST(floor(n_rows::DOUBLE * 200.0::DOUBLE * 1.2::DOUBLE) AS BIGINT) AS metadata_bytes
+FROM (SELECT unnest([1000::BIGINT, 100000, 1000000]) AS n_rows), (SELECT unnest([384::BIGINT, 768, 1536]) AS dim)""")
+def sizing_table(spark, d):
+    return sizing.table(spark, [1000, 100_000, 1_000_000], [384, 768, 1536]).select("n_rows", "dim", "vector_bytes", "index_bytes", "metadata_bytes")
