@@ -189,7 +189,15 @@ def matches(tags: Column, wanted: dict) -> Column:
 
     Within a key the first of $exists, $eq, $ne, $in, $nin decides alone; only the four range
     operators combine. On a missing key only $exists: false and a $nin without null are true.
+    The tags are bound to a lambda variable: they are parsed once a row, however often a predicate
+    names them, and generated code stays small.
     """
+    if not wanted:
+        return F.lit(True)
+    return F.get(F.transform(F.array(tags), lambda v: _matches(v, wanted)), 0)
+
+
+def _matches(tags: Column, wanted: dict) -> Column:
     out = F.lit(True)
     for key, want in wanted.items():
         t = Tag(tags, key)
