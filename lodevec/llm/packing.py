@@ -28,49 +28,21 @@ from pyspark.sql import functions as F
 from lodevec.llm.common import stage
 
 SIZE, END, PIECES, SPREAD = 2048, 0, 250_000, 16
-CACHE = 400_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
-class Ids:
-    """Token ids of a text as little-endian uint32 bytes, through a bounded cache of its words.
+def encoder(tiktoken_file: str, pattern: str):
+    """text -> its token ids as little-endian uint32 bytes; special tokens' strings are ordinary text."""
+    import base64
 
-    Where all white space is single blanks and line feeds between words, no token of this
-    vocabulary crosses from a word into the blank before the next, so a text's ids are those of
-    its words one by one. Any other text is encoded as a whole.
-    """
+    import tiktoken
 
-    def __init__(self, tiktoken_file: str, pattern: str):
-        import base64
-        import re
-
-        import tiktoken
-
-        with open(tiktoken_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(r"\s\s|[^\S \n]|^\s|\s$").search
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if self.odd(text):
-            return self.whole(text)
-        head, *rest = text.replace("\n", " \n").split(" ")
-        known = self.words
-        new = [w for w in set(rest) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(rest))
-            ids = self.encoding.encode_ordinary_batch([w if w[0] == "\n" else " " + w for w in new], num_threads=1)
-            for w, i in zip(new, ids):
-                known[w] = np.array(i, "<u4").tobytes()
-        return self.whole(head) + b"".join([known[w] for w in rest])
+    with open(tiktoken_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: np.array(encode(text), "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, vocabulary: str = "byte_bpe_50k", keep: bool = False) -> DataFrame:
@@ -87,7 +59,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     def run(batches):
         from pyspark import TaskContext
 
-        ids_of, at = Ids(file, pattern), TaskContext.get().partitionId() << 40
+        ids_of, at = encoder(file, pattern), TaskContext.get().partitionId() << 40
         end = np.array([END], "<u4").tobytes()
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * keep
         names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep
