@@ -4,9 +4,9 @@ A document is its token ids and an end mark. One longer than SIZE is cut into pi
 first of which holds the remainder. Pieces are dealt to partitions by a hash; each partition runs
 best-fit decreasing over its pieces and computes a lower bound of its number of sequences from
 dual-feasible functions (`lower_bound`). A partition that meets its bound is certified: no packing
-of its pieces needs less. The others keep their full sequences and give up the pieces of those
-with gaps; these meet in fewer, larger partitions and are packed again, until every partition is
-certified or only few partitions' worth is left, which the last round packs together.
+of its pieces needs less. It gives up its emptiest sequence only. The others keep their full
+sequences and give up the pieces of those with gaps. What is given up meets in fewer, larger
+partitions and is packed again, until one partition's worth is left, which the last round packs.
 
 Scale: texts are read once and never shuffled; a row of the shuffles is a piece (about 40 bytes).
 A partition of the first round holds PIECES pieces. Each later round shrinks the number of
@@ -132,7 +132,12 @@ def _pack(table: pa.Table, size: int, last: bool) -> pa.Table:
     lengths = table.column("length").to_numpy()
     where, offset, fills = best_fit(lengths, size)
     certified = len(fills) <= lower_bound(np.bincount(lengths, minlength=size + 1), size)
-    done = np.full(len(lengths), True) if last or certified else fills[where] == size
+    if last:
+        done = np.full(len(lengths), True)
+    elif certified:  # its emptiest sequence may yet be filled with others'
+        done = where != np.argmin(fills)
+    else:
+        done = fills[where] == size
     return table.append_column("bin", pa.array(where)).append_column("offset", pa.array(offset.astype(np.int32))).append_column("done", pa.array(done)).append_column("certified", pa.array(np.full(len(lengths), certified)))
 
 
