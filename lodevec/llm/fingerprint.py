@@ -134,13 +134,13 @@ def in_order(docs: DataFrame, text: str, key: str) -> DataFrame:
         d = d.withColumn("slice", F.lit(0))
     # the first row of every slice that isn't empty, by slice: at most n rows
     first = d.groupBy("slice").agg(F.min(F.struct("k", "t")).alias("f")).orderBy("slice").collect()
-    before = {(r["f"]["k"], r["f"]["t"]): first[i - 1]["slice"] for i, r in enumerate(first)}  # before the first: the last
-    out = d.withColumn("guest", F.lit(False))
-    if before:
-        host = F.coalesce(*(F.when((F.col("k") == k) & (F.col("t") == t), s) for (k, t), s in before.items()))
-        own, other = F.struct(F.col("slice"), F.lit(False).alias("guest")), F.struct(host.alias("slice"), F.lit(True).alias("guest"))
-        out = d.withColumn("to", F.explode(F.when(host.isNull(), F.array(own)).otherwise(F.array(own, other))))
-        out = out.select("to.slice", "to.guest", "k", "t", "text")
+    own = F.struct(F.col("slice"), F.lit(False).alias("guest"))
+    hosts = [(r["f"]["k"], r["f"]["t"], first[i - 1]["slice"]) for i, r in enumerate(first)]  # before the first: the last
+    # one row a slice, so it may be broadcast
+    d = d.join(F.broadcast(spark.createDataFrame(hosts, "k bigint, t bigint, host int")), ["k", "t"], "left")
+    both = F.array(own, F.struct(F.col("host").alias("slice"), F.lit(True).alias("guest")))
+    d = d.withColumn("to", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(both)))
+    out = d.select("to.slice", "to.guest", "k", "t", "text")
     return out.repartitionById(n, F.col("slice").cast("int")).sortWithinPartitions("slice", "guest", "k", "t")
 
 
