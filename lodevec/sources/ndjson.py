@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def import_ndjson(collection, path: str, chunk_size: int = 1024, checkpoint_path
     with open(path, "rb") as f:
         f.seek(at)
         while True:
-            lines = [x for x, _ in zip(iter(f.readline, b""), range(chunk_size))]
+            lines = list(islice(iter(f.readline, b""), chunk_size))
             if not lines:
                 break
             d = collection.spark.createDataFrame([(x.decode().rstrip("\n"),) for x in lines], "value string")

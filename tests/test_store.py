@@ -94,7 +94,7 @@ def test_upgrade(spark, tmp_path):
 def test_ndjson(spark, tmp_path):
     texts = ['"q"', "a\nb\t", "\\", "漢字", "é", "http://x/?a=b"]
     c = store.Collection(spark, str(tmp_path / "c"), 4)
-    c.put_batch(spark.createDataFrame([([1.0, 0, 0, i], t, "") for i, t in enumerate(texts * 5)], "vector array<float>, text string, ts string"))
+    c.put_batch(spark.createDataFrame([([1.0, 0.0, 0.0, float(i)], t, "") for i, t in enumerate(texts * 5)], "vector array<float>, text string, ts string"))
     ndjson.write_ndjson(c.rows(), str(tmp_path / "out"), single=True)
     path = next(str(p) for p in (tmp_path / "out").iterdir() if p.name.startswith("part"))
     to, mark = store.Collection(spark, str(tmp_path / "d"), 4), str(tmp_path / "mark")
