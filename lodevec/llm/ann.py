@@ -11,9 +11,10 @@ windows is faster than walking them. Windows too narrow for CALIBRATE of the blo
 are skipped.
 
 Scale: vectors are dealt to blocks by a hash; a block's task holds its vectors and arrays (about
-block * (8 * d + 10 * PROJECTIONS) bytes) and reads the queries as a stream, so neither grows with
-the table. Every query meets every block, as the queries are a stated set against all rows: queries
-are replicated once a block, and k rows a query and block come back, of which the k best stay.
+block * (8 * d + 10 * PROJECTIONS) bytes) and reads a group of at most about QUERIES queries as a
+stream, so neither memory nor a task's time grows with the table. Every query meets every block, as
+the queries are a stated set against all rows: queries are replicated once a block, blocks once a
+group, and k rows a query and block come back, of which the k best stay.
 
 Cases: vectors that are null, zero, of another length than most rows', or hold null or non-finite
 components take no part, as queries or as candidates; with fewer than k candidates all are
@@ -28,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import partitions
 
-K, PROJECTIONS, WIDTH, RATIO, SHARE, VERIFY, BLOCK, SEED, CALIBRATE = 20, 128, 1.6, 1.07, 0.7, 0.1, 50_000, 11, 16
+K, PROJECTIONS, WIDTH, RATIO, SHARE, VERIFY, BLOCK, QUERIES, SEED, CALIBRATE = 20, 128, 1.6, 1.07, 0.7, 0.1, 50_000, 50_000, 11, 16
 
 
 def usable(v: Column) -> Column:
@@ -99,15 +99,19 @@ class Block:
 def search(table: DataFrame, is_query: Column, vector: str = "embedding", key: str = "vec_id", k: int = K, block: int = BLOCK, verify: float = VERIFY) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds."""
     t = table.where(usable(F.col(vector))).select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.coalesce(is_query, F.lit(False)) & F.col(key).isNotNull()).alias("q"))
-    facts = t.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
+    facts = t.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("asked"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
     out = "query_id long, vec_id long, score double"
     if facts is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, norm, blocks = facts["d"], float(np.sqrt(facts["m"])) * (1 + 1e-12), max(1, -(-facts["n"] // block))
     t = t.where(F.size("v") == d)
-    rows = t.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.lit(0).alias("kind"), "id", "v")
-    asked = t.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("kind"), "id", "v")
-    dealt = rows.unionByName(asked).repartitionById(blocks, F.col("b")).sortWithinPartitions("b", "kind")
+    groups = max(1, -(-facts["asked"] // QUERIES))  # a task is a block and a group of queries
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block_of, group_of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
+    rows = t.select(block_of.alias("i"), each(groups).alias("j"), F.lit(0).alias("kind"), "id", "v")
+    asked = t.where("q").select(each(blocks).alias("i"), group_of.alias("j"), F.lit(1).alias("kind"), "id", "v")
+    both = rows.unionByName(asked).select((F.col("i") * groups + F.col("j")).alias("b"), "kind", "id", "v")
+    dealt = both.repartitionById(blocks * groups, F.col("b")).sortWithinPartitions("b", "kind")
 
     def run(batches):
         own: list[tuple[np.ndarray, np.ndarray]] = []

@@ -19,7 +19,7 @@ need no rule.
 import hashlib
 import hmac
 import re
-from datetime import date, timedelta
+from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa

@@ -93,7 +93,9 @@ def test_sketches_merge():
 # ---------------------------------------------------------------- 2
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("asked", [50_000, 60])
+def test_neighbours(spark, asked, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", asked)
     rng = np.random.default_rng(2)
     v = rng.normal(size=(3000, 24)).astype(np.float32)
     v[10] = v[20] = v[40]
