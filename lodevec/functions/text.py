@@ -120,12 +120,19 @@ def add_tags(text: Column, tags_json: Column) -> Column:
     return F.concat(strip_tags(text), F.lit(TAG_MARK), tags_json, F.lit("]"))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with value as a lambda variable: evaluated once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parse_tags(text: Column) -> Column:
     """The tags of a stored text as variant; null without a well-formed suffix that is an object."""
-    payload = F.substring_index(text, TAG_MARK, -1)
-    body = F.substring(payload, F.lit(1), F.length(payload) - 1)
-    v = F.when((F.instr(text, TAG_MARK) > 0) & payload.endswith("]"), F.try_parse_json(body))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+    def payload(t: Column) -> Column:
+        p = F.substring_index(t, TAG_MARK, -1)
+        return F.when((F.instr(t, TAG_MARK) > 0) & p.endswith("]"), F.substring(p, F.lit(1), F.length(p) - 1))
+
+    return bind(F.try_parse_json(bind(text, payload)), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def validate_tags(tags: dict) -> dict:
@@ -194,7 +201,7 @@ def matches(tags: Column, wanted: dict) -> Column:
     """
     if not wanted:
         return F.lit(True)
-    return F.get(F.transform(F.array(tags), lambda v: _matches(v, wanted)), 0)
+    return bind(tags, lambda v: _matches(v, wanted))
 
 
 def _matches(tags: Column, wanted: dict) -> Column:

@@ -70,17 +70,28 @@ def topk_by_id(collection: DataFrame, query_id: int, k: int, metric: str = "cosi
     return topk(hits, F.col("__q"), k, metric, vector, key).drop("__q")
 
 
+MOST_QUERIES = 10_000
+
+
 def batch_topk(collection: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector: str = "vector", key: str = "id", query_vector: str = "vector", query_key: str = "id") -> DataFrame:
-    """Top-k for every row of a small query table: rows (query_id, rank, id, score).
+    """Top-k for every row of a query table: rows (query_id, rank, id, score).
 
-    One nested-loop pass over the collection's partitions; each keeps k rows a query before the shuffle.
+    One nested-loop pass over the collection's partitions for each block of at most about
+    MOST_QUERIES queries, which is what is broadcast; each partition keeps k rows a query before
+    the shuffle.
     """
     check_k(k)
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("__q"))
-    pairs = collection.select(F.col(key).alias("id"), F.col(vector).alias("__v")).crossJoin(q)
-    pairs = pairs.select("query_id", "id", vectors.similarity(F.col("__v"), F.col("__q"), metric).alias("score"))
+    blocks = -(-q.count() // MOST_QUERIES)
+    c = collection.select(F.col(key).alias("id"), F.col(vector).alias("__v"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    out = None
+    for i in range(max(1, blocks)):
+        own = q if blocks <= 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = c.crossJoin(F.broadcast(own)).select("query_id", "id", vectors.similarity(F.col("__v"), F.col("__q"), metric).alias("score"))
+        hits = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def batch_topk_gemm(collection: DataFrame, queries: np.ndarray, query_ids: Sequence[int], k: int, metric: str = "cosine", vector: str = "vector", key: str = "id") -> DataFrame:

@@ -362,13 +362,17 @@ class Catalog:
         self.open_.clear()
 
 
+SPAN = 1 << 20
+
+
 def compacted(rows: DataFrame, tombstones: DataFrame, key: str = "id") -> DataFrame:
     """Live rows with new_id, dense from 0 in id order; for a collection in one table.
 
-    Ranks come from range partitions and their counts, not from one sorting task.
+    Ids are dense, so spans of SPAN ids bound what a task ranks; a row's new id is its rank in its
+    span and the live rows of the spans before, a table of a row per span.
     """
-    d = search.live(rows, tombstones, key)
-    parts = d.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
-    within = Window.partitionBy("__part").orderBy(key)
-    counts = parts.groupBy("__part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.withColumn("__row", F.row_number().over(within)).join(counts.drop("n"), "__part").withColumn("new_id", F.col("__row") - 1 + F.col("before")).drop("__part", "__row", "before")
+    d = search.live(rows, tombstones, key).withColumn("__span", F.floor(F.col(key) / SPAN))
+    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy("__span").agg(F.count("*").alias("n")).select("__span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    ranked = d.withColumn("__row", F.row_number().over(Window.partitionBy("__span").orderBy(key)))
+    return ranked.join(counts, "__span").withColumn("new_id", F.col("__row") - 1 + F.col("__before")).drop("__span", "__row", "__before")
