@@ -29,19 +29,28 @@ def empty_to_null(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words of two characters and more that are no stop words, in order."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+
+
+def bind(value: Column, use) -> Column:
+    """use(value) with value as a lambda variable: evaluated once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def bm25(query: Column, doc: Column, average: Column) -> Column:
-    """BM25 without document frequencies; repeated query tokens count each time."""
-    n = F.size(doc)
+    """BM25 without document frequencies; repeated query tokens count each time.
+
+    The document is scanned once for the query's tokens; frequencies are counted among those found.
+    """
 
-    def term(t: Column) -> Column:
-        f = F.size(F.filter(doc, lambda d: d == t)).cast("double")
-        return F.when(f == 0, 0.0).otherwise(f * (K1 + 1) / (f + K1 * (1 - B + B * (n / average))))
+    def score(s: Column) -> Column:
+        def term(t: Column) -> Column:
+            f = F.size(F.filter(s["hits"], lambda d: d == t)).cast("double")
+            return F.when(f == 0, 0.0).otherwise(f * (K1 + 1) / (f + K1 * (1 - B + B * (s["n"] / average))))
 
-    return F.aggregate(F.transform(query, term), F.lit(0.0), lambda s, x: s + x)
+        return F.aggregate(F.transform(query, term), F.lit(0.0), lambda x, y: x + y)
+
+    return bind(doc, lambda d: bind(F.struct(F.filter(d, lambda t: F.array_contains(query, t)).alias("hits"), F.size(d).alias("n")), score))
 
 
 # ---------------------------------------------------------------- labels
@@ -120,11 +129,6 @@ def add_tags(text: Column, tags_json: Column) -> Column:
     return F.concat(strip_tags(text), F.lit(TAG_MARK), tags_json, F.lit("]"))
 
 
-def bind(value: Column, use) -> Column:
-    """use(value) with value as a lambda variable: evaluated once, however often use names it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def parse_tags(text: Column) -> Column:
     """The tags of a stored text as variant; null without a well-formed suffix that is an object."""
 
