@@ -104,7 +104,8 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s2"), F.col("b").alias("b2"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     goal = sums.join(goal, F.col("s2").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "b").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    rest_of = [c for c in sized.columns if c not in ("h", "doc_id", "size", "source")]  # rows still equal are interchangeable
+    within = Window.partitionBy("source", "b").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", *rest_of).rowsBetween(Window.unboundedPreceding, -1)
     d = sized.withColumn("b", b).withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = d.join(goal, F.col("source").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).withColumn("off", F.col("ahead") + F.col("inner"))
     rest = F.col("upto") % F.col("source_size")
