@@ -24,3 +24,10 @@ def table(spark: SparkSession, rows: list[int], dims: list[int], **how) -> DataF
     r = spark.createDataFrame([(x,) for x in rows], "n_rows bigint")
     d = spark.createDataFrame([(x,) for x in dims], "dim bigint")
     return r.crossJoin(d).withColumns(estimate(F.col("n_rows"), F.col("dim"), **how))
+
+
+def report(spark: SparkSession, rows: list[int], dims: list[int], **how) -> DataFrame:
+    """The same as text: numbers with separators, sizes in GiB to two places."""
+    t = table(spark, rows, dims, **how)
+    gib = [F.format_number(F.col(f"{c}_bytes") / float(1 << 30), 2).alias(f"{c}_gib") for c in ("vector", "index", "metadata", "total")]
+    return t.select(F.format_number("n_rows", 0).alias("n_rows"), "dim", *gib)

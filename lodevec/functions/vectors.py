@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = ("ip", "cosine", "l2")
@@ -59,6 +59,29 @@ def normalize_or_keep(a: Column) -> Column:
     return F.coalesce(l2_normalize(a), a)
 
 
+def mean_pool(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors whose mask is not 0, as array<double>; null if there is none."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda z: z["m"] != 0), lambda z: z["v"])
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.transform(F.get(kept, 0), lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
+
+
+def random_unit_vectors(spark: SparkSession, n: int, dim: int, seed: int = 42) -> DataFrame:
+    """Rows (id, vector): Gaussian unit vectors, the same for a seed on any number of partitions."""
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            v = np.array([np.random.default_rng([seed, i]).normal(size=dim) for i in ids]).reshape(-1, dim)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["id", "vector"])
+
+    return spark.range(n).mapInArrow(run, "id long, vector array<float>")
+
+
 # ---------------------------------------------------------------- reduced precision
 
 

@@ -362,6 +362,39 @@ class Catalog:
         self.open_.clear()
 
 
+class ExternalIds:
+    """A persisted map from a caller's ids to row ids, beside the collection's commits."""
+
+    def __init__(self, collection: Collection):
+        self.c = collection
+
+    def table(self) -> DataFrame:
+        """Rows (external, id) of live rows; the latest id of each external one."""
+        dirs = self.c.files.list("_external")
+        if not dirs:
+            return self.c.spark.createDataFrame([], "external string, id bigint")
+        t = self.c.spark.read.parquet(*(self.c.files.at("_external", d) for d in dirs))
+        return search.live(t.groupBy("external").agg(F.max("id").alias("id")), self.c.tombstones())
+
+    def upsert(self, rows: DataFrame) -> int:
+        """rows (external, vector, text, ts): known ids are replaced, others appended; returns the number of rows."""
+        rows = rows.dropDuplicates(["external"]).orderBy("external").cache()
+        before = self.c.state["next_id"]
+        ids = self.c.put_batch(rows, "external")
+        numbered = rows.select("external").orderBy("external").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + ids.start))
+        self.c.spark.createDataFrame(numbered, "external string, id bigint").write.parquet(self.c.files.at("_external", uuid.uuid4().hex))
+        replaced = self.c.spark.read.parquet(*(self.c.files.at("_external", d) for d in self.c.files.list("_external"))).where(F.col("id") < before)
+        dead = search.live(replaced.join(rows.select("external"), "external", "left_semi"), self.c.tombstones()).select("id").distinct()
+        if dead.limit(1).count():
+            self.c.delete(dead)
+        rows.unpersist()
+        return len(ids)
+
+    def hits(self, hits: DataFrame) -> DataFrame:
+        """hits with external."""
+        return hits.join(self.table(), "id", "left")
+
+
 SPAN = 1 << 20
 
 

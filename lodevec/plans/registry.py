@@ -603,3 +603,35 @@ def ivf_recall(spark, d):
 FROM (SELECT unnest([1000::BIGINT, 100000, 1000000]) AS n_rows), (SELECT unnest([384::BIGINT, 768, 1536]) AS dim)""")
 def sizing_table(spark, d):
     return sizing.table(spark, [1000, 100_000, 1_000_000], [384, 768, 1536]).select("n_rows", "dim", "vector_bytes", "index_bytes", "metadata_bytes")
+
+
+@query("""SELECT format('{:,}', n_rows) AS n_rows, dim, format('{:.2f}', (32 + n_rows * dim * 4) / 1073741824.0::DOUBLE) AS vector_gib
+FROM (SELECT unnest([1000000::BIGINT, 10000000]) AS n_rows), (SELECT unnest([384::BIGINT, 768]) AS dim)""")
+def sizing_report(spark, d):
+    return sizing.report(spark, [1_000_000, 10_000_000], [384, 768]).select("n_rows", "dim", "vector_gib")
+
+
+@query("SELECT i AS id, 32 AS dim, true AS is_unit FROM (SELECT unnest(generate_series(0, 199)) AS i)")
+def random_unit_vectors(spark, d):
+    v = vectors.random_unit_vectors(spark, 200, 32)
+    return v.select("id", F.size("vector").alias("dim"), (F.abs(vectors.norm(F.col("vector")) - 1) < 1e-5).alias("is_unit"))
+
+
+@query("""WITH t AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 3 <> 0)
+SELECT label, floor(avg(v[1]) * 1000000.0 + 0.5) / 1000000.0 AS first_component FROM t GROUP BY label""")
+def mean_pooling(spark, d):
+    """Vectors as tokens of their label, every third one masked."""
+    e = table(spark, d, "embeddings").groupBy("label").agg(F.collect_list(F.struct("embedding", (F.col("vec_id") % 3).alias("m"))).alias("t"))
+    p = vectors.mean_pool(F.col("t.embedding"), F.col("t.m"))
+    return e.select("label", T.js_round(F.get(p, 0), 6).alias("first_component"))
+
+
+@query("SELECT 'doc-' || vec_id AS external, vec_id % 2 = 0 AS replaced FROM embeddings")
+def external_ids(spark, d):
+    c = store.Collection(spark, _folder(spark), 64, "cosine")
+    x = store.ExternalIds(c)
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("doc-"), "vec_id").alias("external"), F.col("embedding").alias("vector"), "vec_id")
+    x.upsert(e.select("external", "vector"))
+    n = c.count()
+    x.upsert(e.where("vec_id % 2 = 0").select("external", "vector"))
+    return x.table().select("external", (F.col("id") >= n).alias("replaced"))
