@@ -592,10 +592,10 @@ def recall_at_k(spark, d):
 
 @query()
 def ivf_recall(spark, d):
-    """Half of 16 inverted lists, against exact."""
+    """Half of 16 inverted lists, against exact, for every row of an id divisible by 100."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     c = ivf.fit(e, 16)
-    q = e.where("id < 20")
+    q = e.where("id % 100 = 0")
     return search.recall_at_k(ivf.batch_probe(ivf.assign(e, c), c, q, 10, 8), search.batch_topk(e, q, 10), 10)
 
 

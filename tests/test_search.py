@@ -113,3 +113,12 @@ def test_chunk_windows_and_modes(spark):
     w = d.select("id", F.explode(chunking.char_windows(F.col("text"), 100, 20)).alias("w")).where("id = 4").collect()
     assert [r["w"]["offset"] for r in w] == list(range(0, 80 * len(w), 80))
     assert chunking.clamp_size(1) == 128 and chunking.clamp_size(10**9) == 65536 and chunking.clamp_size(None) == 800
+
+
+def test_ivf_recall_asks_the_whole_query_set(spark):
+    from lodevec.plans import registry
+    from tests.conftest import SF
+
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").count()
+    r = registry.ivf_recall(spark, SF).first()
+    assert r["n_queries"] == n and 0.5 < r["recall"] <= 1
