@@ -10,8 +10,9 @@ sorted arrays; collisions are counted by comparing ranks with the windows' ends,
 windows is faster than walking them. Windows too narrow for CALIBRATE of the block's own vectors
 are skipped.
 
-Scale: vectors are dealt to blocks by a hash; a block's task holds its vectors and arrays (about
-block * (8 * d + 10 * PROJECTIONS) bytes) and reads a group of at most about QUERIES queries as a
+Scale: rows are staged with a number of their own and dealt to blocks by its hash, so that blocks
+are of even size whatever the ids are; a block's task holds its vectors and arrays (about
+block * (8 * d + 12 * PROJECTIONS) bytes) and reads a group of at most about QUERIES queries as a
 stream, so neither memory nor a task's time grows with the table. Every query meets every block, as
 the queries are a stated set against all rows: queries are replicated once a block, blocks once a
 group, and k rows a query and block come back, of which the k best stay.
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodevec.llm.common import stage
 
 K, PROJECTIONS, WIDTH, RATIO, SHARE, VERIFY, BLOCK, QUERIES, SEED, CALIBRATE = 20, 128, 1.6, 1.07, 0.7, 0.1, 50_000, 50_000, 11, 16
 
@@ -38,7 +40,7 @@ def usable(v: Column) -> Column:
 
 
 class Block:
-    """The index of one block of at most 65,536 vectors: sorted projections, and each vector's rank in each."""
+    """The index of one block of vectors: sorted projections, and each vector's rank in each."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, norm: float, k: int = K, projections: int = PROJECTIONS, seed: int = SEED, verify: float = VERIFY):
         first = np.argsort(ids, kind="stable")
@@ -51,8 +53,8 @@ class Block:
         p = ((self.x @ self.a[:-1] + rest[:, None] * self.a[-1]) / norm).T
         order = np.argsort(p, axis=1, kind="stable")
         self.sorted = np.take_along_axis(p, order, axis=1)
-        self.rank = np.empty((projections, n), np.uint16)
-        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
+        self.rank = np.empty((projections, n), np.uint32)
+        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.uint32)[None, :], axis=1)
         if self.need < n:  # narrower windows than these few need would be opened in vain
             self.level = min(self.candidates(self.x[i])[1] for i in range(0, n, -(-n // CALIBRATE)))
 
@@ -62,7 +64,7 @@ class Block:
         if self.need >= n:
             return np.arange(n), level
         c = (q / np.sqrt((q * q).sum())) @ self.a[:-1]
-        least, inside, away = int(np.ceil(SHARE * self.m)), np.empty(n, bool), np.empty(n, np.uint16)
+        least, inside, away = int(np.ceil(SHARE * self.m)), np.empty(n, bool), np.empty(n, np.uint32)
         while True:
             half = WIDTH / 2 * RATIO**level
             counts, full = np.zeros(n, np.uint16), True
@@ -72,8 +74,8 @@ class Block:
                 if hi - lo == n:
                     counts += 1
                 elif hi > lo:
-                    np.subtract(r, np.uint16(lo), out=away)  # ranks before the window wrap around
-                    np.less(away, np.uint16(hi - lo), out=inside)
+                    np.subtract(r, np.uint32(lo), out=away)  # ranks before the window wrap around
+                    np.less(away, np.uint32(hi - lo), out=inside)
                     counts += inside
             hit = np.flatnonzero(counts >= least)
             if len(hit) >= self.need or full:
@@ -99,6 +101,7 @@ class Block:
 def search(table: DataFrame, is_query: Column, vector: str = "embedding", key: str = "vec_id", k: int = K, block: int = BLOCK, verify: float = VERIFY) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds."""
     t = table.where(usable(F.col(vector))).select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.coalesce(is_query, F.lit(False)) & F.col(key).isNotNull()).alias("q"))
+    t = stage(t.withColumn("row", F.monotonically_increasing_id()), "vectors")
     facts = t.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("asked"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
     out = "query_id long, vec_id long, score double"
     if facts is None:
@@ -107,7 +110,7 @@ def search(table: DataFrame, is_query: Column, vector: str = "embedding", key: s
     t = t.where(F.size("v") == d)
     groups = max(1, -(-facts["asked"] // QUERIES))  # a task is a block and a group of queries
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block_of, group_of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")
+    block_of, group_of = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int")
     rows = t.select(block_of.alias("i"), each(groups).alias("j"), F.lit(0).alias("kind"), "id", "v")
     asked = t.where("q").select(each(blocks).alias("i"), group_of.alias("j"), F.lit(1).alias("kind"), "id", "v")
     both = rows.unionByName(asked).select((F.col("i") * groups + F.col("j")).alias("b"), "kind", "id", "v")

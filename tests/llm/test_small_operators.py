@@ -123,6 +123,33 @@ def test_neighbours(spark, asked, monkeypatch):
     assert ann.recall(got, ann.brute_force(t, F.col("vec_id") % 20 == 0)) >= 0.9
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_a_hot_id_is_spread_over_blocks(spark, key, monkeypatch):
+    class Small(ann.Block):
+        def __init__(self, x, ids, *rest, **more):
+            assert len(ids) <= 600
+            super().__init__(x, ids, *rest, **more)
+
+    monkeypatch.setattr(ann, "Block", Small)
+    v = np.random.default_rng(4).normal(size=(2000, 8)).astype(np.float32)
+    t = spark.createDataFrame([(key if i % 3 else 20 * i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    got = ann.search(t, F.col("vec_id").isin(0, 60), block=400).collect()
+    x = v.astype(float)
+    for q, i in ((0, 0), (60, 3)):
+        s = x @ x[i]
+        s[i] = -np.inf
+        own = sorted((r["score"] for r in got if r["query_id"] == q), reverse=True)
+        assert len(own) == 20 and np.isin(np.round(own, 6), np.round(np.sort(s)[::-1][:20], 6)).mean() >= 0.9
+
+
+def test_a_block_above_65536():
+    x = np.random.default_rng(6).normal(size=(70_000, 6))
+    b = ann.Block(x, np.full(70_000, -1), float(np.sqrt((x * x).sum(1).max())), projections=32)
+    assert (np.sort(b.rank[0]) == np.arange(70_000)).all()
+    score = b.search(x[5], None)[1]
+    assert np.isin(np.round(score, 9), np.round(np.sort(x @ x[5])[::-1][:20], 9)).mean() >= 0.9
+
+
 # ---------------------------------------------------------------- 3 and 6
 
 
