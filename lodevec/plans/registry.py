@@ -502,12 +502,13 @@ def quota_check(spark, d):
 
 @query("SELECT vec_id AS id, embedding AS vector, coalesce(substr(text, 1, 100), '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
 def ndjson_roundtrip(spark, d):
-    c = corpus(spark, d).select("id", "vector", F.substring("text", 1, 100).alias("text"), "ts")
+    """Whole texts go out and come back; only the rows returned hold their first 100 characters, as the SQL does."""
+    c = corpus(spark, d).select("id", "vector", "text", "ts")
     at = _folder(spark)
     ndjson.write_ndjson(c, at)
     lines = spark.read.text(at)
     ids = lines.select(F.from_json("value", ndjson.LINE).alias("j"), "value")
-    return ids.select("j.id", vectors.decode_base64(F.col("j.vector"), 64).alias("vector"), "j.text")
+    return ids.select("j.id", vectors.decode_base64(F.col("j.vector"), 64).alias("vector"), F.substring("j.text", 1, 100).alias("text"))
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id >= 50 AND vec_id < 150 AND vec_id % 7 <> 3")
@@ -519,7 +520,7 @@ def export_range(spark, d):
 @query("SELECT count(*) AS n, count(*) AS n_ids FROM embeddings")
 def stream_ingest(spark, d):
     """Two micro-batches of NDJSON files, the second run replaying none."""
-    c = corpus(spark, d).select("id", "vector", F.lit("x").alias("text"), "ts")
+    c = corpus(spark, d).select("id", "vector", "text", "ts")
     at = _folder(spark)
     ndjson.write_ndjson(c.where("id % 2 = 0"), at + "/in/a")
     to = store.Collection(spark, at + "/collection", 64)

@@ -157,3 +157,17 @@ def test_windows_on_a_stream(spark, tmp_path):
     assert [(r["n"], r["total"]) for r in w] == [(2, 3.0), (1, 4.0)]
     assert ingest.dedup_stream(d.unionByName(d), "event_id").count() == 3
     assert d.select(F.col("ts")).count() == 3
+
+
+@pytest.mark.parametrize("name", ["ndjson_roundtrip", "stream_ingest"])
+def test_queries_write_whole_texts(spark, tmp_path, monkeypatch, name):
+    from lodevec.plans import registry
+    from lodevec.sources import ndjson
+    from tests.conftest import SF
+
+    monkeypatch.setattr(registry, "_folder", lambda spark: f"file://{tmp_path}/{name}")
+    registry.QUERIES[name](spark, SF).count()
+    at = f"file://{tmp_path}/{name}"
+    got = store.Collection(spark, at + "/collection", 64).rows() if name == "stream_ingest" else ndjson.read_ndjson(spark, at, 64)
+    texts = [r["text"] for r in registry.corpus(spark, SF).select("text").collect()]
+    assert sorted(r["text"] for r in got.select("text").collect()) == sorted(texts) and max(map(len, texts)) > 100
