@@ -18,6 +18,7 @@ are documents of their own; other columns are ignored; an empty table gives no r
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -33,33 +34,42 @@ SIZE, END, PIECES, SPREAD = 2048, 0, 250_000, 16
 # ---------------------------------------------------------------- tokens
 
 
-def encoder(tiktoken_file: str, pattern: str):
-    """text -> its token ids as little-endian uint32 bytes; special tokens' strings are ordinary text."""
+def encoder(tiktoken_file: str, pattern: str, added: dict[str, int] | None = None):
+    """text -> its token ids as little-endian uint32 bytes; strings in `added` are one token of that id, all else is ordinary text."""
     import base64
 
     import tiktoken
 
     with open(tiktoken_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: np.array(encode(text), "<u4").tobytes()
+    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    special = set(added or ())
+    return lambda text: np.array(encode.encode(text, allowed_special=special, disallowed_special=()), "<u4").tobytes()
 
 
-def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, vocabulary: str = "byte_bpe_50k", keep: bool = False) -> DataFrame:
+def added_tokens(json_file: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's json, which `tokenizers` finds inside texts, too."""
+    with open(json_file, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, vocabulary: str = "byte_bpe_50k", keep: bool = False, added: bool = False) -> DataFrame:
     """Rows (doc_id, row, piece, start, length, ids_crc32), with keep also ids array<int>.
 
     row tells documents of equal id apart. vocabulary names a public tokenizer's pair of files.
+    With added, its json's added tokens are found in texts, as by the tokenizer as loaded; without, they are ordinary text.
     """
     import public_tokenizers as P
 
     file, pattern = P.path(f"{vocabulary}.tiktoken"), P.PATTERN
+    extra = added_tokens(P.path(f"{vocabulary}.json")) if added else {}
     d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = "doc_id long, row long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * keep
 
     def run(batches):
         from pyspark import TaskContext
 
-        ids_of, at = encoder(file, pattern), TaskContext.get().partitionId() << 40
+        ids_of, at = encoder(file, pattern, extra), TaskContext.get().partitionId() << 40
         end = np.array([END], "<u4").tobytes()
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * keep
         names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep
@@ -175,4 +185,4 @@ def pack(pieces: DataFrame, size: int = SIZE, most: int = PIECES, spread: int =
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(pieces(docs)).select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset", "certified", "round")
+    return pack(pieces(docs, added=True)).select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset", "certified", "round")

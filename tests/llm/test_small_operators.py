@@ -308,6 +308,22 @@ def test_packing(spark, docs, empty):
     assert packing.pack(packing.pieces(empty)).count() == 0
 
 
+@pytest.mark.parametrize("which", ["query", "pipeline"])
+def test_added_tokens_are_as_by_the_tokenizer_as_loaded(spark, tmp_path, which):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    import public_tokenizers as P
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext|", "plain  text"]
+    spark.createDataFrame([(i, x, "s") for i, x in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op7_best_fit_packing(spark, str(tmp_path)) if which == "query" else corpus_pipeline.pack_sequences(spark, d, str(tmp_path))
+    ids = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got.collect()} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_bounds_hold(seed):
     """A bound never exceeds what a packing needs, here against the true optimum of tiny cases."""
