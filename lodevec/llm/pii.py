@@ -7,13 +7,18 @@ groups allowed), telephone numbers (international or with an area code), IPv4 ad
 letters by letters of the same case, separators kept. The digits (for dates the day count, for
 addresses the four bytes, for e-mail and secrets the characters) are one number below a known
 bound, which a Feistel network over two halves permutes, keyed by HMAC-SHA256 and the kind;
-walking the cycle keeps the number inside the bound. As a permutation it maps equal values alike
-wherever they stand and different ones apart, and with the key it can be undone (`restore`). A
-number with a valid check digit gets a pseudonym with one; a card number without, one without.
-
-Cases: null text stays null with no finds; nothing else in a text changes; other columns pass
-through, those named like a result are replaced; rows are independent, so ties and repeated rows
-need no rule.
+walking the cycle keeps the number inside the bound. A value of more than WIDE characters isn't
+made one number: its places are two halves of digits, each place with its own alphabet, and a
+Feistel network adds keyed digits modulo that alphabet (`_wide`), in time linear in the length. As
+a permutation it maps equal values alike wherever they stand and different ones apart, and with
+the key it can be undone (`restore`). A number with a valid check digit gets a pseudonym with one;
+a card number without, one without.
+
+Cases: null text stays null with no finds; nothing else in a text changes; a text or value of any
+length takes time linear in it, as every pattern is either of bounded length or tried only where
+its run of characters begins; where a pattern's match turns out to be no valid value, the search
+goes on one character later; other columns pass through, those named like a result are replaced;
+rows are independent, so ties and repeated rows need no rule.
 """
 
 import hashlib
@@ -22,11 +27,12 @@ import re
 from datetime import date
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+ROUNDS, WIDE = 8, 128
 KEY = "lodevec-demo-key"
 
 
@@ -37,7 +43,7 @@ class Feistel:
         self.bound = bound
         self.half = max(1, -(-max(1, (bound - 1).bit_length()) // 2))
         self.mask = (1 << self.half) - 1
-        self.mac = hmac.new(key.encode(), f"{tweak}:{bound}".encode(), hashlib.sha256)
+        self.mac = hmac.new(key.encode(), f"{tweak}:{bound:x}".encode(), hashlib.sha256)
 
     def _round(self, i: int, right: int) -> int:
         m = self.mac.copy()
@@ -97,20 +103,56 @@ def _digits_into(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+_HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
+
+
+def _wide(key: str, tweak: str, digits: np.ndarray, bases: np.ndarray, undo: bool) -> np.ndarray:
+    """A keyed permutation of digit strings, digits[i] below bases[i]: halves take turns to shift each other's digits."""
+    cut = len(digits) // 2
+    part, base = [digits[:cut].astype(np.uint64), digits[cut:].astype(np.uint64)], [bases[:cut].astype(np.uint64), bases[cut:].astype(np.uint64)]
+    shape = hashlib.sha256(bases.astype(np.uint8).tobytes()).digest()
+    for i in reversed(range(ROUNDS)) if undo else range(ROUNDS):
+        own, other = i % 2, 1 - i % 2
+        seed = hmac.new(key.encode(), tweak.encode() + b":wide:" + bytes([i]) + shape + part[other].astype(np.uint8).tobytes(), hashlib.sha256).digest()
+        shift = np.frombuffer(hashlib.shake_256(seed).digest(8 * len(part[own])), "<u8") % base[own]
+        part[own] = (part[own] + (base[own] - shift if undo else shift)) % base[own]
+    return np.concatenate(part)
+
+
+def _hex(key: str, tweak: str, text: str, undo: bool) -> str:
+    """Hexadecimal digits of one case; the walk goes on until a letter is among them, so that they are told from plain digits."""
+    alphabet = "0123456789ABCDEF" if text.upper() == text else "0123456789abcdef"
+    while True:
+        if len(text) > WIDE:
+            own, place = np.frombuffer(alphabet.encode(), np.uint8), np.zeros(128, np.uint8)
+            place[own] = np.arange(16)
+            text = own[_wide(key, tweak + "hex", place[np.frombuffer(text.encode(), np.uint8)], np.full(len(text), 16), undo)].tobytes().decode()
+        else:
+            n = _permute(key, tweak + "hex", int(text, 16), 16 ** len(text), undo)
+            text = format(n, f"0{len(text)}{'X' if alphabet[-1] == 'F' else 'x'}")
+        if not text.isdigit():
+            return text
+
+
 def _letters(key: str, tweak: str, text: str, undo: bool) -> str:
-    """Letters within their case and alphabet, digits as digits; other characters stay."""
-    sets = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
-    hexa = re.fullmatch(r"[0-9a-f]{16,}|[0-9A-F]{16,}", text)
-    if hexa:
-        n = int(text, 16)
-        out = format(_permute(key, tweak + "hex", n, 16 ** len(text), undo), f"0{len(text)}x")
-        return out.upper() if text.upper() == text and any(c.isalpha() for c in text) else out
-    of = [next((s for s in sets if c in s), None) for c in text]
+    """Letters within their case and alphabet, hexadecimal digits as such, digits as digits; other characters stay."""
+    if _HEX.fullmatch(text) and not text.isdigit():
+        return _hex(key, tweak, text, undo)
+    if len(text) > WIDE:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        first, bases = codes.copy(), np.ones(len(codes), np.uint8)
+        for own in _LETTERS:
+            inside = (codes >= ord(own[0])) & (codes <= ord(own[-1]))
+            first[inside], bases[inside] = ord(own[0]), len(own)
+        new = first + _wide(key, tweak, (codes - first).astype(np.uint8), bases, undo).astype(np.uint32)
+        return new.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    of = [next((s for s in _LETTERS if c in s), None) for c in text]
     n, bound = 0, 1
     for c, s in zip(text, of):
         if s:
             n, bound = n * len(s) + s.index(c), bound * len(s)
-    shape = "".join("-" if s is None else "aA0"[sets.index(s)] for s in of)
+    shape = "".join("-" if s is None else "aA0"[_LETTERS.index(s)] for s in of)
     n = _permute(key, tweak + shape, n, bound, undo)
     out = []
     for c, s in zip(reversed(text), reversed(of)):
@@ -217,10 +259,12 @@ def _secret(key, v, undo):
     return head + _letters(key, "secret", v[len(head) :], undo)
 
 
+# what stands before a kind's value within its pattern: an address is looked for only where a run of its characters begins
+_BEFORE = {"email": r"(?<![\w.+-])(?:(?![A-Za-z0-9])[\w.+-])*+"}
 KINDS = (
-    ("email", r"[A-Za-z0-9][\w.+-]*@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", r"[A-Za-z0-9][\w.+-]*+@[\w-]++(?:\.[\w-]++)*\.[A-Za-z]{2,}", _email),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
-    ("secret", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_](?:live_|test_)?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})\b", _secret),
+    ("secret", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_](?:live_|test_)?[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)\b", _secret),
     ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![./-]?\d)", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
@@ -240,10 +284,11 @@ def _union(kinds) -> re.Pattern:
         n += 1
         return f"(?P<s{n}>["
 
-    return re.compile("|".join(f"(?P<{k}>{re.sub(r'(?<![?\\])\(\[', named, re.sub(r'\\([1-9])', r'(?P=s\1)', p))})" for k, p, _ in kinds))
+    return re.compile("|".join(f"{_BEFORE.get(k, '')}(?P<{k}>{re.sub(r'(?<![?\\])\(\[', named, re.sub(r'\\([1-9])', r'(?P=s\1)', p))})" for k, p, _ in kinds))
 
 
 PATTERN = _union(KINDS)
+_GAP = re.compile(r"[ \n\t]")
 _CHANGE = {n: f for n, _, f in KINDS}
 
 
@@ -251,19 +296,23 @@ def pseudonymize(text: str, key: str = KEY, undo: bool = False) -> tuple[str, li
     """The text with pseudonyms, and (kind, start, length) of each value in the result."""
     out, found, last, n, seen = [], [], 0, 0, 0
     for h in _HINT.finditer(text):
-        start = max(seen, *(text.rfind(c, seen, h.start()) + 1 for c in " \n\t"))
-        end = min((p for p in (text.find(c, h.end()) for c in " \n\t") if p >= 0), default=len(text))
-        if end <= seen:
+        if h.end() <= seen:  # in a stretch that has been searched
             continue
-        for m in PATTERN.finditer(text, start, end):
+        start = max(seen, *(text.rfind(c, seen, h.start()) + 1 for c in " \n\t"))
+        gap = _GAP.search(text, h.end())
+        end = gap.start() if gap else len(text)
+        at = start
+        while m := PATTERN.search(text, at, end):
             kind = next(k for k in _CHANGE if m.group(k) is not None)
-            new = _CHANGE[kind](key, m.group(), undo)
+            a, at = m.span(kind)
+            new = _CHANGE[kind](key, m.group(kind), undo)
             if new is None:
+                at = a + 1
                 continue
-            out += [text[last : m.start()], new]
-            n += m.start() - last
+            out += [text[last:a], new]
+            n += a - last
             found.append((kind, n, len(new)))
-            n, last = n + len(new), m.end()
+            n, last = n + len(new), at
         seen = end
     if not found:
         return text, []
