@@ -456,13 +456,3 @@ def test_near_dups(spark, docs, empty, block, monkeypatch):
     assert kept.columns == d.columns and kept.count() == len({find(t) for t in texts})
     if block == 1000:
         assert neardup.near_dups(empty).count() == 0 and neardup.drop_near_dups(empty).count() == 0
-
-
-def test_prefixes_and_leaders():
-    assert neardup.prefix_depth() == 4 and 1 - (1 - 0.5**4) ** 48 >= 0.95
-    e = np.zeros(500, neardup.ENTRY)
-    e["node"] = np.arange(500)
-    e["s0"][250:], e["s1"][250:] = 0x5555555555555555, 0xAAAAAAAAAAAAAAAA
-    f = neardup.Forest()
-    assert len(neardup.link_entries(e, f)) == 2
-    assert len({f.find(i) for i in range(500)}) == 2
