@@ -5,12 +5,13 @@ first of which holds the remainder. Pieces are dealt to partitions by a hash; ea
 best-fit decreasing over its pieces and computes a lower bound of its number of sequences from
 dual-feasible functions (`lower_bound`). A partition that meets its bound is certified: no packing
 of its pieces needs less. It gives up its emptiest sequence only. The others keep their full
-sequences and give up the pieces of those with gaps. What is given up meets in fewer, larger
-partitions and is packed again, until one partition's worth is left, which the last round packs.
+sequences and give up the pieces of those with gaps. What is given up meets in fewer partitions,
+none larger than before, and is packed again, until one partition's worth is left or their number
+shrinks no more; the last round keeps all.
 
 Scale: texts are read once and never shuffled; a row of the shuffles is a piece (about 40 bytes).
-A partition of the first round holds PIECES pieces. Each later round shrinks the number of
-partitions by SPREAD and handles only what is left open.
+A partition of any round holds about PIECES pieces. Each later round handles only what is left open,
+in a SPREADth of the partitions, or more where PIECES asks for more.
 
 Cases: null text counts as empty (its only token is the end mark); null doc_id and repeated rows
 are documents of their own; other columns are ignored; an empty table gives no rows.
@@ -161,14 +162,11 @@ def pack(pieces: DataFrame, size: int = SIZE, most: int = PIECES, spread: int =
     left, out, step = stage(pieces.select(*own), "pieces"), [], 0
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema)
     n = left.count()
-    parts = max(1, -(-n // most))
+    parts, before = max(1, -(-n // most)), None
     while True:
-        last = parts == 1
-        seed = step
-        task = _packer(size, last)
-
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece", F.lit(seed)), F.lit(parts)))
-        packed = dealt.groupBy("part").applyInArrow(task, f"{names}, part long, bin long, offset int, done boolean, certified boolean")
+        last = parts == 1 or before is not None and parts >= before
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece", F.lit(step)), F.lit(parts)))
+        packed = dealt.repartition(min(parts, 20_000), "part").groupBy("part").applyInArrow(_packer(size, last), f"{names}, part long, bin long, offset int, done boolean, certified boolean")
         packed = stage(packed, f"packed-{step}")
         number = (F.lit(step).cast("bigint") * (1 << 56)) + F.col("part") * (1 << 28) + F.col("bin")
         out.append(packed.where("done").select(*own, number.alias("sequence_id"), F.col("offset").cast("bigint").alias("offset"), "certified", F.lit(step).alias("round")))
@@ -176,7 +174,7 @@ def pack(pieces: DataFrame, size: int = SIZE, most: int = PIECES, spread: int =
         open_ = 0 if last else left.count()
         if not open_:
             break
-        parts, step = max(1, min(parts // spread, -(-open_ // most))), step + 1
+        before, parts, step = parts, max(1, parts // spread, -(-open_ // most)), step + 1
     done = out[0]
     for x in out[1:]:
         done = done.unionByName(x)

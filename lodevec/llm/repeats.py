@@ -17,14 +17,17 @@ corpus, and ranks together with places put suffixes in corpus order; all but the
 rank are removed. The parse needs no suffix array of its own, as a phrase holds all LENGTH bytes
 of each of its suffixes.
 
-Scale: a phrase starts about every 32 bytes. It is shuffled as 15 to 20 bytes in packed columns;
+Scale: a phrase starts about every 32 bytes. It is shuffled as about 25 bytes in packed columns;
 equal phrases are first merged within each batch, so that a passage that a third of all documents
-share leaves one phrase per batch. Phrases are compared within the trigger's group only, by 40 +
-48 hash bits beside those that name the partition; texts are shuffled twice, by document.
+share leaves one phrase per batch, and spans that touch are merged before they are sent. Phrases
+are compared within the trigger's group only, by 40 + 48 hash bits beside those that name the
+group; texts are shuffled twice, by document. The number of groups follows from the bytes of the
+table (GROUP_BYTES of text a group), so that a task's memory is the same at every size. Rows that
+repeat more than REPEATS times (one id and one text) are worked on once and multiplied at the end.
 
 Cases: null text counts as empty; a text shorter than LENGTH is kept; a null doc_id comes before
 all others; rows that agree in id and text are one document and are treated alike, rows that agree
-in id alone are ordered by a hash of the text; other columns are ignored.
+in id alone are told apart and ordered by 128 hash bits of the text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import U64, byte_codes, mix, partitions, powers, runs, stage, utf8
+from lodevec.llm.common import U64, byte_codes, mix, powers, runs, stage, utf8
 
 LENGTH, GRAM = 100, 32
 CHUNK = 1 << 19
+GROUP_BYTES, LEAST_GROUPS, MOST_TASKS, REPEATS = 8 << 20, 8, 20_000, 64
 FIRST = -(1 << 63)
 
 
@@ -119,9 +123,10 @@ def unpack(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, kinds)]
 
 
-ENTRY = ("<u4", "u1", "<u4", "<u2", "<i8", "<i4", "<i4", "u1", "u1")  # trigger hash 32 + 8, phrase hash 32 + 16, k, t, start, spread, trigger
-SPAN = ("<i8", "<i4", "<i4", "<i4")  # k, t, start, end
-ASK = ("<i8", "<i4", "<i4", "u1", "<i8")  # k, t, start, spread, trigger hash
+# a document is (k, t, u): its id and two hashes of its text
+ENTRY = ("<u4", "u1", "<u4", "<u2", "<i8", "<i8", "<i8", "<i4", "u1", "u1")  # trigger hash 32 + 8, phrase hash 32 + 16, document, start, spread, trigger
+SPAN = ("<i8", "<i8", "<i8", "<i4", "<i4")  # document, start, end
+ASK = ("<i8", "<i8", "<i8", "<i4", "u1", "<i8")  # document, start, spread, trigger hash
 
 
 def _split(part: np.ndarray, *columns: tuple[np.ndarray, str]):
@@ -138,25 +143,52 @@ def _bucket(k: np.ndarray, t: np.ndarray, buckets: int) -> np.ndarray:
     return (np.mod(k.astype(np.int64), buckets) * 7919 + np.mod(t.astype(np.int64), buckets)) % buckets
 
 
-def _earliest(h, w, k, t, a):
+def _earliest(h, w, k, t, u, a):
     """Order by (h, w, place), where groups of equal (h, w) begin, and which rows stand later than their group's first."""
-    order = np.lexsort((a, t, k, w, h))
-    h, w, k, t, a = h[order], w[order], k[order], t[order], a[order]
+    order = np.lexsort((a, u, t, k, w, h))
+    h, w, k, t, u, a = h[order], w[order], k[order], t[order], u[order], a[order]
     new = np.append(np.full(min(1, len(h)), True), (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-    return order, new, (k != k[first]) | (t != t[first]) | (a != a[first])
+    return order, new, (k != k[first]) | (t != t[first]) | (u != u[first]) | (a != a[first])
+
+
+def merged(k, t, u, a, e):
+    """Spans sorted by document and start; those that touch or overlap made one."""
+    order = np.lexsort((a, u, t, k))
+    k, t, u, a, e = k[order], t[order], u[order], a[order].astype(np.int64), e[order].astype(np.int64)
+    if not len(k):
+        return k, t, u, a, e
+    doc = np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
+    shift = (np.cumsum(doc) - 1) << 32  # documents one after another, so that one running maximum does
+    end = np.maximum.accumulate(shift + e)
+    new = np.append(True, shift[1:] + a[1:] > end[:-1])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(k) - 1)
+    return k[new], t[new], u[new], a[new], end[last] - shift[last]
 
 
 # ---------------------------------------------------------------- the steps
 
 
-def _keyed(docs: DataFrame, text: str, key: str, buckets: int) -> DataFrame:
-    """Rows (bucket, k, t, text)."""
-    d = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(FIRST)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.hash("text"))
+def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows (k, t, u, text)."""
+    d = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(FIRST)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return d.select("k", F.xxhash64("text").alias("t"), F.xxhash64("text", F.lit(1)).alias("u"), "text")
+
 
+def _bucketed(d: DataFrame, buckets: int) -> DataFrame:
     b = F.lit(buckets).cast("long")
-    bucket = F.pmod(F.pmod("k", b) * 7919 + F.pmod(F.col("t").cast("long"), b), b)
-    return d.select(bucket.alias("bucket"), "k", "t", "text")
+    return d.withColumn("bucket", F.pmod(F.pmod("k", b) * 7919 + F.pmod("t", b), b))
+
+
+def _single(d: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (k, t, u, text, rows), where documents of more than REPEATS rows are one row, and the bytes of all texts."""
+    size = d.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    counts = d.groupBy("k", "t", "u").agg(F.count("*").alias("rows"))
+    many = stage(counts.where(F.col("rows") > REPEATS), "repeated")
+    own = ["k", "t", "u"]
+    once = d.join(many, own, "left_anti").withColumn("rows", F.lit(1).cast("long"))
+    more = d.join(many, own).groupBy(*own).agg(F.first("text").alias("text"), F.first("rows").alias("rows"))
+    return once.unionByName(more), size
 
 
 def _parse(docs: DataFrame, parts: int) -> DataFrame:
@@ -169,43 +201,43 @@ def _parse(docs: DataFrame, parts: int) -> DataFrame:
                 continue
             raw, off = utf8(b.column("text"))
             r, a, s, x, h, w = all_phrases(raw, off, codes)
-            k, t = b.column("k").to_numpy()[r], b.column("t").to_numpy()[r]
-            order, new, later = _earliest(h, w, k, t, a)
+            k, t, u = (b.column(c).to_numpy()[r] for c in "ktu")
+            order, new, later = _earliest(h, w, k, t, u, a)
             gone = order[later]
             # the order of the input packs best
             own = np.sort(order[new])
-            k1, t1, a1, e1 = k[gone], t[gone], a[gone], a[gone] + s[gone] + LENGTH
+            spans = merged(k[gone], t[gone], u[gone], a[gone], a[gone] + s[gone] + LENGTH)
             h, w = h[own], w[own]
             part, h = (h % U64(parts)).astype(np.int64), h // U64(parts)
-            rows = list(_split(part, (h & U64(0xFFFFFFFF), "<u4"), (h >> U64(32) & U64(0xFF), "u1"), (w & U64(0xFFFFFFFF), "<u4"), (w >> U64(32) & U64(0xFFFF), "<u2"), (k[own], "<i8"), (t[own], "<i4"), (a[own], "<i4"), (s[own], "u1"), (x[own], "u1")))
+            rows = list(_split(part, *zip((h & U64(0xFFFFFFFF), h >> U64(32) & U64(0xFF), w & U64(0xFFFFFFFF), w >> U64(32) & U64(0xFFFF), k[own], t[own], u[own], a[own], s[own], x[own]), ENTRY)))
             if not rows:
                 continue
-            n = len(rows)
-            spans = [pack((k1, "<i8"), (t1, "<i4"), (a1, "<i4"), (e1, "<i4"))] + [b""] * (n - 1)
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([e for _, e in rows], pa.binary()), pa.array(spans, pa.binary())], ["part", "entries", "gone"])
+            blobs = [pack(*zip(spans, SPAN))] + [b""] * (len(rows) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([e for _, e in rows], pa.binary()), pa.array(blobs, pa.binary())], ["part", "entries", "gone"])
 
-    return docs.select("k", "t", "text").mapInArrow(run, "part int, entries binary, gone binary")
+    return docs.select("k", "t", "u", "text").mapInArrow(run, "part int, entries binary, gone binary")
 
 
-def _decider(buckets: int):
+def _decider(parts: int, buckets: int):
     """part -> rows (bucket, gone, ask): spans to remove, and phrases whose bytes must be seen."""
 
     def run(table):
-        h0, h1, w0, w1, k, t, a, s, x = unpack(table.column("entries").to_pylist(), *ENTRY)
-        gk, gt, ga, ge = unpack(table.column("gone").to_pylist(), *SPAN)
+        h0, h1, w0, w1, k, t, u, a, s, x = unpack(table.column("entries").to_pylist(), *ENTRY)
+        spans = unpack(table.column("gone").to_pylist(), *SPAN)
         h, w = h0.astype(U64) | (h1.astype(U64) << U64(32)), w0.astype(U64) | (w1.astype(U64) << U64(32))
         w = w * U64(256) + x  # phrases are equal if their triggers' places are, too
-        order, new, later = _earliest(h, w, k, t, a)
+        order, new, later = _earliest(h, w, k, t, u, a)
         gone = order[later]
-        gk, gt, ga, ge = np.append(gk, k[gone]), np.append(gt, t[gone]), np.append(ga, a[gone]), np.append(ge, a[gone] + s[gone].astype(np.int32) + LENGTH)
+        more = k[gone], t[gone], u[gone], a[gone], a[gone] + s[gone].astype(np.int32) + LENGTH
+        spans = merged(*(np.append(c, d) for c, d in zip(spans, more)))
         hs = h[order]
         group = np.cumsum(np.append(np.full(min(1, len(hs)), True), hs[1:] != hs[:-1])) - 1
         unlike = np.bincount(group[new])[group] > 1 if len(hs) else np.zeros(0, bool)
         ask = order[new & unlike]
         part = table.column("part")[0].as_py()
-        name = (h[ask] * U64(1 << 20) + U64(part)).view(np.int64)  # tells triggers apart within a later partition
-        left = dict(_split(_bucket(gk, gt, buckets), (gk, "<i8"), (gt, "<i4"), (ga, "<i4"), (ge, "<i4")))
-        want = dict(_split(_bucket(k[ask], t[ask], buckets), (k[ask], "<i8"), (t[ask], "<i4"), (a[ask], "<i4"), (s[ask], "u1"), (name, "<i8")))
+        name = mix(h[ask] * U64(parts) + U64(part)).view(np.int64)  # the whole hash again: tells triggers apart within a later group
+        left = dict(_split(_bucket(spans[0], spans[1], buckets), *zip(spans, SPAN)))
+        want = dict(_split(_bucket(k[ask], t[ask], buckets), *zip((k[ask], t[ask], u[ask], a[ask], s[ask], name), ASK)))
         own = sorted(left.keys() | want.keys())
         return pa.table({"bucket": pa.array(own, pa.int64()), "gone": pa.array([left.get(i) for i in own], pa.binary()), "ask": pa.array([want.get(i) for i in own], pa.binary())})
 
@@ -217,22 +249,20 @@ def _fetcher(parts: int):
 
     def run(docs, asks):
         empty = pa.table({"part": pa.array([], pa.int32()), "places": pa.array([], pa.binary()), "bytes": pa.array([], pa.binary())})
-        k, t, a, s, h = unpack(asks.column("ask").to_pylist(), *ASK)
+        k, t, u, a, s, h = unpack(asks.column("ask").to_pylist(), *ASK)
         if not len(k) or not docs.num_rows:
             return empty
         raw, off = utf8(docs.column("text"))
-        row = {}
-        for i, key in enumerate(zip(docs.column("k").to_pylist(), docs.column("t").to_pylist())):
-            row.setdefault(key, i)
-        at = off[np.array([row[key] for key in zip(k.tolist(), t.tolist())])] + a
+        row = {key: i for i, key in enumerate(zip(*(docs.column(c).to_pylist() for c in "ktu")))}
+        at = off[np.array([row[key] for key in zip(k.tolist(), t.tolist(), u.tolist())])] + a
         part = (mix(h.view(U64)) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        part, k, t, a, s, h, at = (c[order] for c in (part, k, t, a, s, h, at))
+        part, k, t, u, a, s, h, at = (c[order] for c in (part, k, t, u, a, s, h, at))
         cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
         out: tuple[list, list, list] = ([], [], [])
         for i, j in zip(cut, [*cut[1:], len(part)]):
             out[0].append(int(part[i]))
-            out[1].append(pack((k[i:j], "<i8"), (t[i:j], "<i4"), (a[i:j], "<i4"), (s[i:j], "u1"), (h[i:j], "<i8")))
+            out[1].append(pack(*((c[i:j], d) for c, d in zip((k, t, u, a, s, h), ASK))))
             out[2].append(b"".join(raw[p : p + LENGTH + n].tobytes() for p, n in zip(at[i:j].tolist(), s[i:j].tolist())))
         return pa.table({"part": pa.array(out[0], pa.int32()), "places": pa.array(out[1], pa.binary()), "bytes": pa.array(out[2], pa.binary())})
 
@@ -260,12 +290,12 @@ def _resolver(buckets: int):
     """part -> rows (bucket, gone): of runs with equal bytes all but the first in the corpus."""
 
     def run(table):
-        k, t, a, s, h = unpack(table.column("places").to_pylist(), *ASK)
+        k, t, u, a, s, h = unpack(table.column("places").to_pylist(), *ASK)
         raw = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
         n = s.astype(np.int64) + 1
         base = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
         rank = suffix_ranks(raw)
-        order = np.lexsort((a, t, k))
+        order = np.lexsort((a, u, t, k))
         place = np.empty(len(k), np.int64)
         place[order] = np.arange(len(k))
         e = np.repeat(np.arange(len(k)), n)
@@ -280,8 +310,8 @@ def _resolver(buckets: int):
         new = np.append(np.full(min(1, len(at)), True), (at[1:] != at[:-1] + 1) | (e[at[1:]] != e[at[:-1]]))
         i = at[new]
         j = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] if len(at) else at
-        gk, gt, ga, ge = k[e[i]], t[e[i]], a[e[i]] + o[i], a[e[i]] + o[j] + LENGTH
-        rows = list(_split(_bucket(gk, gt, buckets), (gk, "<i8"), (gt, "<i4"), (ga, "<i4"), (ge, "<i4")))
+        spans = merged(k[e[i]], t[e[i]], u[e[i]], a[e[i]] + o[i], a[e[i]] + o[j] + LENGTH)
+        rows = list(_split(_bucket(spans[0], spans[1], buckets), *zip(spans, SPAN)))
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "gone": pa.array([g for _, g in rows], pa.binary())})
 
     return run
@@ -291,32 +321,29 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _finisher(keep: bool):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * keep
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * keep + ["rows"]
 
     def run(docs, spans):
         raw, off = utf8(docs.column("text")) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        k, t, a, e = unpack(spans.column("gone").to_pylist(), *SPAN)
-        order = np.lexsort((e, a, t, k))
-        k, t, a, e = k[order], t[order], a[order].astype(np.int64), e[order].astype(np.int64)
-        cut = np.flatnonzero(np.append(np.full(min(1, len(k)), True), (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
-        of = {(int(k[i]), int(t[i])): (i, j) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(k)])}
+        k, t, u, a, e = merged(*unpack(spans.column("gone").to_pylist(), *SPAN))
+        cut = np.flatnonzero(np.append(np.full(min(1, len(k)), True), (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])))
+        of = {(int(k[i]), int(t[i]), int(u[i])): (i, j) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(k)])}
         cols: list[list] = [[] for _ in names]
-        for d, key in enumerate(zip(docs.column("k").to_pylist(), docs.column("t").to_pylist())):
+        copies = docs.column("rows").to_pylist()
+        for d, key in enumerate(zip(*(docs.column(c).to_pylist() for c in "ktu"))):
             own, runs_, kept = raw[off[d] : off[d + 1]], [], None
             if key in of:
                 i, j = of[key]
-                x, y = a[i:j], np.maximum.accumulate(e[i:j])
-                new = np.append(True, x[1:] > y[:-1])
-                begin, end = x[new], y[np.append(np.flatnonzero(new)[1:] - 1, j - i - 1)]
+                begin, end = a[i:j], e[i:j]
                 runs_ = list(zip(begin.tolist(), (end - begin).tolist()))
                 edge = [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(own)]
                 kept = b"".join(own[edge[i] : edge[i + 1]].tobytes() for i in range(0, len(edge), 2))
             else:
                 kept = own.tobytes()
             row = (None if key[0] == FIRST else key[0], len(own), len(own) - len(kept), len(runs_), hashlib.sha256(kept).hexdigest())
-            for c, v in zip(cols, row + ((kept, [{"start": p, "length": q} for p, q in runs_]) if keep else ())):
+            for c, v in zip(cols, row + ((kept, [{"start": p, "length": q} for p, q in runs_]) if keep else ()) + (copies[d],)):
                 c.append(v)
-        types = [pa.int64()] * 4 + [pa.string()] + ([pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))] if keep else [])
+        types = [pa.int64()] * 4 + [pa.string()] + ([pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))] if keep else []) + [pa.int64()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, types)})
 
     return run
@@ -325,17 +352,21 @@ def _finisher(keep: bool):
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256;
     with keep also kept binary (the bytes that stay) and spans array<struct<start,length>>."""
-    n = partitions(docs.sparkSession)
-    parts, buckets = 2 * n, 4 * n
-    d = _keyed(docs, text, key, buckets)
-    found = _parse(d.drop("bucket"), parts).groupBy("part").applyInArrow(_decider(buckets), "bucket long, gone binary, ask binary")
+    d, size = _single(_keyed(docs, text, key))
+    groups = max(LEAST_GROUPS, -(-size // GROUP_BYTES))
+    tasks = min(groups, MOST_TASKS)
+    d = _bucketed(d, groups)
+    by = lambda df, c: df.repartition(tasks, c).groupBy(c)
+    found = by(_parse(d, groups), "part").applyInArrow(_decider(groups, groups), "bucket long, gone binary, ask binary")
     found = stage(found, "found")
     asks = found.where("ask IS NOT NULL").select("bucket", "ask")
-    fetched = d.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(_fetcher(parts), "part int, places binary, bytes binary")
-    ends = stage(fetched.groupBy("part").applyInArrow(_resolver(buckets), "bucket long, gone binary"), "ends")
+    fetched = by(d.drop("rows"), "bucket").cogroup(by(asks, "bucket")).applyInArrow(_fetcher(groups), "part int, places binary, bytes binary")
+    ends = stage(by(fetched, "part").applyInArrow(_resolver(groups), "bucket long, gone binary"), "ends")
     spans = found.where("gone IS NOT NULL").select("bucket", "gone").unionByName(ends)
     out = RESULT + ", kept binary, spans array<struct<start:long,length:long>>" * keep
-    return d.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_finisher(keep), out)
+    done = by(d, "bucket").cogroup(by(spans, "bucket")).applyInArrow(_finisher(keep), out + ", rows long")
+    columns = [c for c in done.columns if c != "rows"]
+    return done.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(*columns)
 
 
 def op4_repeated_substrings(spark, sf_dir: str) -> DataFrame:
