@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,14 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, one machine) a temporary folder is made and set.
+    Where it is unset, a temporary folder is made and set on one machine (tests); a cluster has no
+    folder that this could guess, so there it is an error.
     """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodevec-")
         sc.setCheckpointDir(at)
     return at
@@ -50,6 +54,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search(r"/lodevec-[^/]*-[0-9a-f]{32}$", path):
+            _drop(df.sparkSession, path)
+
+
+REPEATS = 64
+
+
+def single(d: DataFrame, own: list[str], text: str = "text", most: int = REPEATS) -> DataFrame:
+    """d (own, text) with rows long, where what occurs in more than `most` rows, alike in own, is one row.
+
+    own names a row's text, too (by hashes). Counting shuffles own only; of what repeats much, each
+    partition sends one row on, so that no task sees them all.
+    """
+    many = stage(d.groupBy(*own).agg(F.count("*").alias("rows")).where(F.col("rows") > most), "repeated")
+    once = d.join(many, own, "left_anti").withColumn("rows", F.lit(1).cast("long"))
+    more = d.join(many, own).groupBy(*own).agg(F.first(text).alias(text), F.first("rows").alias("rows"))
+    return once.select(*own, text, "rows").unionByName(more.select(*own, text, "rows"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -194,7 +220,8 @@ def components(edges: DataFrame, name: str = "cc", rounds: int = 40) -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = stage(small, f"{name}-{k}")
+        last, e = e, stage(small, f"{name}-{k}")
+        unstage(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == before:
             break

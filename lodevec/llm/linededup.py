@@ -7,7 +7,7 @@ overlap, so covered positions merge into whole passages.
 
 Cases: null text counts as empty; a text of fewer lines than the width has no window and stays
 whole; a null doc_id sorts before all others; rows that agree in id and text are one document
-and are treated alike; other columns pass through, whatever their names.
+and are treated alike; other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -55,7 +55,8 @@ def statistics(text: str, table: np.ndarray) -> list[float]:
 
 
 def measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Columns `keep` with stats array<double>."""
+    """Columns `keep` with stats array<double>; a column of that name is replaced."""
+    keep = [c for c in keep if c.lower() != "stats"]
     d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     out = d.select(*keep).withColumn("stats", F.lit(None).cast("array<double>")).schema
 
@@ -74,7 +75,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _sums(df: DataFrame, f, size: int) -> np.ndarray:
-    """Sum over all rows of f(batch) -> vector of `size`: each partition sends one vector, and those meet in a tree of two levels."""
+    """Sum over all rows of f(batch) -> vector of `size`: each partition sends one vector, and those meet in a tree, 32 at a time."""
 
     def part(batches):
         total = np.zeros(size)
@@ -89,10 +90,12 @@ def _sums(df: DataFrame, f, size: int) -> np.ndarray:
                 total += np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    some = df.mapInArrow(part, "v binary")
-    # few partial sums go on to the driver, however many partitions there were
-    got = some.repartition(8).mapInArrow(add, "v binary").collect()
-    return np.sum([np.frombuffer(r["v"]) for r in got], axis=0)
+    some, n = df.mapInArrow(part, "v binary"), df.rdd.getNumPartitions()
+    while n > 8:  # few partial sums go on to the driver, however many partitions there were
+        n = max(8, -(-n // 32))
+        some = some.repartition(n).mapInArrow(add, "v binary")
+    got = some.collect()
+    return np.sum([np.zeros(size), *(np.frombuffer(r["v"]) for r in got)], axis=0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -39,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import U64, byte_codes, mix, powers, runs, stage, utf8
+from lodevec.llm.common import REPEATS, U64, byte_codes, mix, powers, runs, single, stage, utf8
 
 LENGTH, GRAM = 100, 32
 CHUNK = 1 << 19
-GROUP_BYTES, LEAST_GROUPS, MOST_TASKS, REPEATS = 8 << 20, 8, 20_000, 64
+GROUP_BYTES, LEAST_GROUPS, MOST_TASKS = 8 << 20, 8, 20_000
 FIRST = -(1 << 63)
 
 
@@ -180,17 +180,6 @@ def _bucketed(d: DataFrame, buckets: int) -> DataFrame:
     return d.withColumn("bucket", F.pmod(F.pmod("k", b) * 7919 + F.pmod("t", b), b))
 
 
-def _single(d: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (k, t, u, text, rows), where documents of more than REPEATS rows are one row, and the bytes of all texts."""
-    size = d.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    counts = d.groupBy("k", "t", "u").agg(F.count("*").alias("rows"))
-    many = stage(counts.where(F.col("rows") > REPEATS), "repeated")
-    own = ["k", "t", "u"]
-    once = d.join(many, own, "left_anti").withColumn("rows", F.lit(1).cast("long"))
-    more = d.join(many, own).groupBy(*own).agg(F.first("text").alias("text"), F.first("rows").alias("rows"))
-    return once.unionByName(more), size
-
-
 def _parse(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (part, entries, gone): packed phrases by trigger, merged within the batch, and spans decided already."""
 
@@ -352,7 +341,9 @@ def _finisher(keep: bool):
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256;
     with keep also kept binary (the bytes that stay) and spans array<struct<start,length>>."""
-    d, size = _single(_keyed(docs, text, key))
+    d = _keyed(docs, text, key)
+    size = d.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    d = single(d, ["k", "t", "u"], most=REPEATS)
     groups = max(LEAST_GROUPS, -(-size // GROUP_BYTES))
     tasks = min(groups, MOST_TASKS)
     d = _bucketed(d, groups)

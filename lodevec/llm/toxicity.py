@@ -7,8 +7,9 @@ weights are fitted to document labels by that likelihood, so training finds the
 explain a label, and sentences of score >= 0.5 are the offending ones.
 
 The model is fitted on a bounded sample of labelled rows outside the held-out fold: at most
-TRAIN_DOCS of each label (least hash of the id), TRAIN_CHARS characters of each, reweighted to
-the labels' shares; features are the at most FEATURES most associated ones of those with
+TRAIN_DOCS of each label (least hash of the id), TRAIN_CHARS characters of each (a text that doesn't
+fit is passed over for the next; where none fits, the shortest is taken), reweighted to the labels'
+shares; features are the at most FEATURES most associated ones of those with
 association above MIN_Z. The bounds make one task enough for training and the model small enough
 to go with the scoring function. Scoring takes every row and the whole of each text.
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 TRAIN_DOCS, TRAIN_CHARS, FEATURES, MIN_Z, STEPS, RIDGE = 4000, 20_000_000, 3000, 3.5, 250, 5e-5
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
+SOME = re.compile(r"\w[^.!?\n]*")  # one match a sentence with a word
 CACHE = 300_000
 
 
@@ -44,21 +46,35 @@ def features(word: str) -> list[str]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
-    """Rows (text, label, n): labelled documents outside the held-out fold; n is how many such labels there are of that kind."""
+    """Rows (text, label, n): labelled documents outside the held-out fold; n is how many such labels there are of that kind.
+
+    Of rows that share an id, the text of least hash stands for it. Which texts fit is decided on
+    their lengths, at most 2 * `most` rows, before any text is moved.
+    """
+    spark = docs.sparkSession
     own = labels.where(~fold(F.col(key)) & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).distinct()
-    parts = []
+    ids = None
     for y in (0, 1):
         one = own.where(F.col("label") == y)
-        n = one.count()
-        ids = one.orderBy(F.xxhash64("k"), "k").limit(most).withColumn("n", F.lit(n))  # at most `most` rows, so it may be broadcast
-        got = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "k")
-        parts.append(got)
-    both = parts[0].unionByName(parts[1])
-    # each row's share of the characters: a bound that holds however long the texts are
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("label").orderBy(F.xxhash64("k"), "k", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("upto", F.sum(F.length("text")).over(w)).where(f"upto <= {chars}").select("text", "label", "n")
+        one = one.orderBy(F.xxhash64("k"), "k").limit(most).withColumn("n", F.lit(one.count()))
+        ids = one if ids is None else ids.unionByName(one)
+    d = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    of = d.join(F.broadcast(ids), "k")  # at most 2 * most rows
+    least = of.groupBy("k", "label", "n").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("chars"))).alias("t"))
+    rows = least.select("k", "label", "n", "t.h", "t.chars").orderBy(F.xxhash64("k"), "k").collect()
+    taken = []
+    for y in (0, 1):
+        mine, left = [r for r in rows if r["label"] == y], chars
+        before = len(taken)
+        for r in mine:
+            if r["chars"] <= left:
+                taken.append(r)
+                left -= r["chars"]
+        if mine and len(taken) == before:
+            taken.append(min(mine, key=lambda r: r["chars"]))
+    chosen = spark.createDataFrame([(r["k"], r["label"], r["n"], r["h"]) for r in taken], ids.select("k", "label", "n").schema.add("h", "long"))
+    got = d.join(F.broadcast(chosen), "k").where(F.xxhash64("text") == F.col("h"))
+    return got.groupBy("k", "label", "n").agg(F.first("text").alias("text")).select("text", "label", "n")
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> tuple[float, dict[str, float]]:
@@ -67,9 +83,11 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int =
     bags = [[np.array(sorted({number.setdefault(w, len(number)) for w in WORD.findall(s)}), np.int32) for s in SENTENCE.findall(t)] for t in texts]
     words = list(number)
 
+    named = [features(w) for w in words]
+
     def in_doc(bag) -> set[str]:
         own = np.unique(np.concatenate(bag)).tolist() if bag else []
-        return set(chain.from_iterable(map(features, (words[i] for i in own))))
+        return set(chain.from_iterable(named[i] for i in own))
 
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
@@ -97,7 +115,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int =
             hit: set[int] = set()
             for w in s.tolist():
                 if (x := ids.get(w)) is None:
-                    x = ids[w] = [at[f] for f in features(words[w]) if f in at]
+                    x = ids[w] = [at[f] for f in named[w] if f in at]
                 hit.update(x)
             doc_of.append(d)
             s_of.extend([k] * len(hit))
@@ -141,35 +159,35 @@ def scorer(bias: float, model: dict[str, float]):
     """text -> (score, [(start, length, sentence score), ...] of the sentences with score >= 0.5)"""
     from math import exp
 
-    cache: dict[str, float] = {}
     base = 1 / (1 + exp(-max(-30.0, bias)))
+    misses: set[str] = set()  # words without a weight
     sets: dict[str, frozenset] = {}
 
-    def look(w: str) -> float:
+    def look(w: str) -> bool:
         hit = frozenset(f for f in features(w) if f in model)
-        v = 1.0 if hit else 0.0
-        if len(cache) < CACHE:
-            cache[w] = v
         if hit:
             sets[w] = hit
-        return v
+        elif len(misses) < CACHE:
+            misses.add(w)
+        return bool(hit)
 
     def score(text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        keep, spans, get = 1.0, [], cache.get
-        for m in SENTENCE.finditer(text):
-            ws = WORD.findall(m.group())
-            if not ws:
-                continue
-            hits = [w for w in ws if (get(w) if w in cache else look(w))]
-            if hits:
-                z = bias + sum(model[f] for f in set().union(*(sets[w] for w in hits)))
-                p = 1 / (1 + exp(-max(-30.0, min(30.0, z))))
-                if p >= 0.5:
-                    spans.append((m.start(), m.end() - m.start(), p))
-            else:
-                p = base
-            keep *= 1 - p
-        return 1 - keep, spans
+        if len(sets) > CACHE:
+            sets.clear()
+        # a sentence without a word of weight has the score `base`, so most texts need no more than how many there are
+        hits = {w for w in set(WORD.findall(text)).difference(misses) if w in sets or look(w)}
+        n, keep, spans = sum(1 for _ in SOME.finditer(text)), 1.0, []
+        if hits:
+            for m in SENTENCE.finditer(text):
+                own = hits.intersection(WORD.findall(m.group()))
+                if own:
+                    z = bias + sum(model[f] for f in set().union(*(sets[w] for w in own)))
+                    p = 1 / (1 + exp(-max(-30.0, min(30.0, z))))
+                    if p >= 0.5:
+                        spans.append((m.start(), m.end() - m.start(), p))
+                    keep *= 1 - p
+                    n -= 1
+        return 1 - keep * (1 - base) ** n, spans
 
     return score
 

@@ -54,7 +54,7 @@ def unique():
 
 def test_fingerprints(spark, docs, empty):
     out = {}
-    d = fingerprint.in_order(spark.createDataFrame(unique(), DOCS), "text", "doc_id").select("slice", "guest", "k", "text")
+    d = fingerprint.in_order(spark.createDataFrame(unique(), DOCS), "text", "doc_id").select("slice", "guest", "k", "rows", "text")
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, contained_in_edited double"
     for r in d.mapInArrow(fingerprint._pairs, kinds).collect():
         assert r["doc_id"] not in out
@@ -71,12 +71,56 @@ def test_fingerprints(spark, docs, empty):
             true = len(x & y) / len(x | y) if x and y else float(not x and not y)
             assert abs(got - true) < (1e-9 if len(x) < 128 and len(y) < 128 else 0.2)
         assert fingerprint.encode(fingerprint.bottom(fingerprint.shingles(t))) == r["fingerprint"]
-    whole = fingerprint.in_order(docs, "text", "doc_id").select("slice", "guest", "k", "text").mapInArrow(fingerprint._pairs, kinds)
+    whole = fingerprint.in_order(docs, "text", "doc_id").select("slice", "guest", "k", "rows", "text").mapInArrow(fingerprint._pairs, kinds)
     assert whole.count() == docs.count()
     assert fingerprint.in_order(empty, "text", "doc_id").count() == 0
     assert fingerprint.fingerprints(docs).count() == docs.count()
 
 
+def neighbours_by_force(rows):
+    """(doc_id, n_chars, edited_sha256) of rows in order of id (null first); rows of one id may stand in any order here."""
+    out = collections.Counter()
+    for i, (k, t) in enumerate(rows):
+        t, n = t or "", rows[(i + 1) % len(rows)][1] or ""
+        e = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        out[k, len(t), hashlib.sha256(e.encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_a_hot_id_is_cut_into_slices(spark, key, tmp_path):
+    rng = random.Random(3)
+    hot = [f"hot {i} {rng.random()}" for i in range(900)]
+    rows = [(key, t) for t in hot] + [(i, f"text {i} " + "abc" * (i % 9)) for i in range(8, 300)] + [(400, "the same text")] * 200
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    o = fingerprint.in_order(d, "text", "doc_id").toPandas()
+    own = o[~o.guest]
+    assert own.rows.sum() == len(rows)  # the repeated row is one
+    at = own[own.k == (fingerprint.FIRST if key is None else key)].groupby("slice").size()
+    assert len(at) >= 3 and at.max() < 700  # of 4 slices or more
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprint.op1_fingerprints(spark, str(tmp_path)).collect()
+    assert [f for f in got[0].asDict()][:7] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    h = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in hot], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -1, h.get(r[1], 0)))
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == neighbours_by_force(order)
+
+
+def test_long_texts_are_sketched_in_parts(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (0, 5, 11, 12, 99, 100, 101, 111, 112, 1000)]
+    whole = [fingerprint.bottom(fingerprint.shingles(t)) for t in texts]
+    monkeypatch.setattr(fingerprint, "PART", 100)
+    assert all((fingerprint.sketch_of(t) == w).all() for t, w in zip(texts, whole))
+
+
+def test_comparing_replaces_columns_of_its_results(spark):
+    f = [fingerprint.encode(fingerprint.sketch_of("some text of words" + str(i))) for i in range(2)]
+    d = spark.createDataFrame([(f[0], f[1], "x", "y", 1)], "merged string, b string, resemblance string, Containment string, other int")
+    r = fingerprint.compare(d, "merged", "b")
+    assert r.columns == ["b", "other", "resemblance", "containment", "merged"] and 0 < r.first()["resemblance"] < 1
+
+
 def test_sketches_merge():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 40, 5000, dtype=np.uint64), rng.integers(0, 1 << 40, 5000, dtype=np.uint64)
@@ -178,6 +222,43 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_a_giant_text_leaves_a_sample(spark):
+    rows = [(i, f"fine words {i}" if i % 2 else f"a vilefoe {i}") for i in range(200)]
+    labels = [(i, 1 - i % 2) for i in range(200)]
+    giant = [(1000 + i, "x" * 5000) for i in range(50)]
+    d = spark.createDataFrame(rows + giant + [(3, "fine words 3")] * 30, "doc_id bigint, text string")
+    y = spark.createDataFrame(labels + [(k, 1) for k, _ in giant], "doc_id bigint, toxic int")
+    got = toxicity.sample(d, y, "toxic", chars=4000).collect()
+    assert {r["label"] for r in got} == {0, 1} and all(len(r["text"]) < 100 for r in got)
+    assert len([r for r in got if r["text"] == "fine words 3"]) <= 1
+    only = toxicity.sample(d, y.where("doc_id >= 1000"), "toxic", chars=4000).collect()
+    assert len(only) == 1  # none fits: the shortest is taken
+
+
+def test_scores_are_those_of_sentences():
+    model = {"=bad": 5.0, "^vil": 4.0, "=x": -1.0}
+    score = toxicity.scorer(-3.0, model)
+    text = "Nothing here. A bad word! ... \n vilest and bad, x\nend.  ;- . Ünïcode bad" * 3
+    keep = 1.0
+    for s in toxicity.SENTENCE.findall(text):
+        w = set(toxicity.WORD.findall(s))
+        if w:
+            z = -3.0 + sum(model.get(f, 0) for f in {f for x in w for f in toxicity.features(x)})
+            keep *= 1 - 1 / (1 + np.exp(-z))
+    got, spans = score(text)
+    assert abs(got - (1 - keep)) < 1e-12 and score(text)[0] == got
+    assert all("bad" in text[a : a + n] or "vil" in text[a : a + n] for a, n, _ in spans) and len(spans) >= 6
+    assert score("") == (0.0, []) and score("...!") == (0.0, [])
+
+
+def test_quality_replaces_a_column_stats(spark):
+    d = spark.createDataFrame([(1, "some text", "mine", "s")], "doc_id bigint, text string, stats string, score string")
+    m = quality.measured(d, "text", ["doc_id", "stats", "score"])
+    assert m.columns == ["doc_id", "score", "stats"]
+    r = quality.score(m, quality.train(m.limit(0).select("stats", F.lit(1).alias("label")), "label"))
+    assert r.columns == ["doc_id", "stats", "score"] and r.first()["score"] == 0.5
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(4)
     rows = []
