@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STOP_WORDS = tuple(sorted(set("""
@@ -37,22 +37,42 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _saturated(f: Column, n: Column, average: Column) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * (n / average)))
+
+
 def bm25(query: Column, doc: Column, average: Column) -> Column:
     """BM25 without document frequencies; repeated query tokens count each time.
 
-    The document is scanned once for the query's tokens; frequencies are counted among those found.
+    For a pool of candidates: the document is scanned once for the query's tokens, and frequencies
+    are counted among those found. For whole tables see bm25_scores.
     """
 
     def score(s: Column) -> Column:
         def term(t: Column) -> Column:
             f = F.size(F.filter(s["hits"], lambda d: d == t)).cast("double")
-            return F.when(f == 0, 0.0).otherwise(f * (K1 + 1) / (f + K1 * (1 - B + B * (s["n"] / average))))
+            return F.when(f == 0, 0.0).otherwise(_saturated(f, s["n"], average))
 
         return F.aggregate(F.transform(query, term), F.lit(0.0), lambda x, y: x + y)
 
     return bind(doc, lambda d: bind(F.struct(F.filter(d, lambda t: F.array_contains(query, t)).alias("hits"), F.size(d).alias("n")), score))
 
 
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "id", query_key: str = "query_id", text: str = "text") -> DataFrame:
+    """Rows (query_id, id, score) of the documents that share a token with a query, by an equi-join on tokens.
+
+    Documents' tokens meet the queries' different words only; frequencies are counted by document
+    and word, before queries that share a word fan out. Keys are taken as unique.
+    """
+    d = docs.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("__d")).withColumn("__n", F.size("__d"))
+    average = d.agg(F.avg("__n").alias("__a")).select(F.when(F.col("__a") > 0, F.col("__a")).otherwise(1.0).alias("__a"))
+    q = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("__t")).groupBy("query_id", "__t").agg(F.count("*").alias("__m"))
+    found = d.select("id", "__n", F.explode("__d").alias("__t")).join(q.select("__t").distinct(), "__t", "left_semi")
+    found = found.groupBy("id", "__n", "__t").agg(F.count("*").cast("double").alias("__f"))
+    found = found.crossJoin(F.broadcast(average)).withColumn("__s", _saturated(F.col("__f"), F.col("__n"), F.col("__a")))  # one row
+    return found.join(q, "__t").groupBy("query_id", "id").agg(F.sum(F.col("__s") * F.col("__m")).alias("score"))
+
+
 # ---------------------------------------------------------------- labels
 
 
@@ -158,9 +178,10 @@ class Tag:
     """One key of a variant column: its presence, type class and value."""
 
     def __init__(self, tags: Column, key: str):
-        path = f"$['{key}']" if re.fullmatch(r"[^'\\]+", key) else None
-        if path is None:
+        quote = '"' if "'" in key else "'"
+        if not key or quote in key or "\\" in key:  # a path can't say both quotes
             raise ValueError(f"unsupported tag key {key!r}")
+        path = f"$[{quote}{key}{quote}]"
         v = F.try_variant_get(tags, path, "variant")
         kind = F.schema_of_variant(v)
         self.there = v.isNotNull()

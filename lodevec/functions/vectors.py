@@ -66,6 +66,11 @@ def mean_pool(tokens: Column, mask: Column) -> Column:
     return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
 
 
+def mean_pooled(rows: DataFrame, by: str, vector: str = "vector") -> DataFrame:
+    """Rows (by, pos, mean) of the mean vectors of groups of any size; no group is gathered."""
+    return rows.select(by, F.posexplode(vector).alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
 def random_unit_vectors(spark: SparkSession, n: int, dim: int, seed: int = 42) -> DataFrame:
     """Rows (id, vector): Gaussian unit vectors, the same for a seed on any number of partitions."""
     import pyarrow as pa

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodevec.functions import text as T
+
 TARGET, OVERLAP, LINES, LINE_OVERLAP, LOOK_BACK = 800, 100, 50, 10, 10
 MIN_CHUNK, MAX_CHUNK = 128, 65_536
 CODE = tuple("bash c cjs cpp cs fish go graphql h hpp java js jsx kt mjs php proto py rb rs scala sh sql swift ts tsx zsh".split())
@@ -35,12 +37,22 @@ def mode_of(path: Column, asked: str = "auto") -> Column:
 
 
 def char_windows(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """array<struct<offset,chunk>> of trimmed windows; blank ones are left out, a blank text is one empty window."""
-    step, n = max(1, target - overlap), F.length(text)
-    last = F.greatest(F.lit(0), F.ceil((n - target) / F.lit(step))).cast("int")
-    trimmed = lambda c: F.regexp_replace(c, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$", "")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("offset"), trimmed(F.substring(text, i * step + 1, F.lit(target))).alias("chunk")))
-    some = F.filter(windows, lambda w: w["chunk"] != "")
+    """array<struct<offset,chunk>> of trimmed windows; blank ones are left out, a blank text is one empty window.
+
+    The text is cut into steps once, and a window is a step and the beginning of those after it, so
+    that the work is linear in the text.
+    """
+    step = max(1, target - overlap)
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - target) / F.lit(step))).cast("int")
+    steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    trimmed = lambda c: F.btrim(c, F.lit(_BLANK))
+
+    def window(s: Column, i: Column) -> Column:
+        rest = F.array_join(F.slice(s, i + 2, F.lit(-(-overlap // step))), "") if overlap > step else F.coalesce(F.get(s, i + 1), F.lit(""))
+        return F.struct((i * step).alias("offset"), trimmed(F.concat(F.get(s, i), F.substring(rest, 1, overlap))).alias("chunk"))
+
+    windows = T.bind(steps, lambda s: F.transform(F.sequence(F.lit(0), F.least(last, F.size(s) - 1)), lambda i: window(s, i)))
+    some = F.filter(F.when(F.length(text) > 0, windows), lambda w: w["chunk"] != "")
     return F.when(F.size(some) > 0, some).otherwise(F.array(F.struct(F.lit(0).alias("offset"), trimmed(text).alias("chunk"))))
 
 

@@ -46,24 +46,31 @@ def rerank(hits: DataFrame, query: Column | str, k: int | None = None, fusion: s
     return h.where(F.col("hybrid_rank") <= k) if k else h
 
 
-def retrieve(collection: DataFrame, query_vector, query_text: str, k: int = 5, *, start: str | None = None, end: str | None = None, candidate_k: int = 0, hybrid: bool = False, fusion: str = "rrf", weight: float = 0.5, wanted: dict | None = None, tags: str = "tags", mode: str = "post", metric: str = "cosine") -> DataFrame:
+def retrieve(collection: DataFrame, query_vector, query_text: str, k: int = 5, *, start: str | None = None, end: str | None = None, candidate_k: int = 0, hybrid: bool = False, fusion: str = "rrf", weight: float = 0.5, wanted: dict | None = None, tags: str = "tags", mode: str = "post", metric: str = "cosine", facts: DataFrame | None = None) -> DataFrame:
     """The whole pipeline: candidate pool, time window, fusion, tag filter, trim.
 
     mode 'post' cuts the pool first and filters after; 'pre' filters first, with full recall.
+    facts (id, text, ts, tags, as far as needed) may be a table of its own: 'post' joins it to the
+    pool only, 'pre' joins the columns that filter.
     """
     search.check_k(k, 500)
     pool_k = candidate_k if candidate_k >= k else search.CANDIDATES * k
     pooled = hybrid or bool(wanted)
     pre = mode == "pre"
     rows = collection
+    if pre and facts is not None:
+        rows = rows.join(facts.select("id", *(["ts"] if start or end else []), *([tags] if wanted else [])), "id", "left")
     if pre:
-        rows = rows.where(search.in_window(F.col("ts"), start, end))
+        rows = rows.where(search.in_window(F.col("ts"), start, end)) if start or end else rows
         rows = rows.where(T.matches(F.col(tags), wanted)) if wanted else rows
     n = pool_k if pooled else k
     if not pre and (start or end):
-        hits = search.topk_in_window(rows, query_vector, n, start, end, n * search.CANDIDATES if pooled else pool_k, metric=metric)
+        hits = search.topk_in_window(rows, query_vector, n, start, end, n * search.CANDIDATES if pooled else pool_k, metric=metric, times=None if facts is None else facts.select("id", "ts"))
     else:
         hits = search.topk(rows, query_vector, n, metric)
+    if facts is not None:
+        hits = search.settled(hits)
+        hits = search.attach(hits, facts.drop(*(c for c in hits.columns if c != "id")))
     if hybrid:
         hits = rerank(hits, query_text, None if wanted and not pre else k, fusion, weight)
         order = "hybrid_rank"

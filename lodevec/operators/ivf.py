@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.operators import search
@@ -34,12 +34,19 @@ def fit(collection: DataFrame, lists: int, vector: str = "vector", key: str = "i
     return c
 
 
+def _near(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n]
+
+
+def nearest_cells(centres: np.ndarray, query, nprobe: int) -> list[int]:
+    return [int(i) for i in _near(np.asarray(query, float)[None, :], centres, nprobe)[0]]
+
+
 def assign(collection: DataFrame, centres: np.ndarray, vector: str = "vector") -> DataFrame:
     """collection with cell int."""
 
     def run(v: pa.Array) -> pa.Array:
-        x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
-        return pa.array((x @ centres.T).argmax(axis=1).astype(np.int32))
+        return pa.array((search.vectors_of(v) @ centres.T).argmax(axis=1).astype(np.int32) if len(v) else np.zeros(0, np.int32))
 
     run.__annotations__ = {"v": pa.Array, "return": pa.Array}
     return collection.withColumn("cell", F.arrow_udf(run, "int")(F.col(vector).cast("array<double>")))
@@ -47,25 +54,37 @@ def assign(collection: DataFrame, centres: np.ndarray, vector: str = "vector") -
 
 def probe(indexed: DataFrame, centres: np.ndarray, query, k: int, nprobe: int, metric: str = "cosine", vector: str = "vector", key: str = "id") -> DataFrame:
     """Top-k within the nprobe cells nearest to a query."""
-    order = np.argsort(-(centres @ np.asarray(query, float)), kind="stable")[:nprobe]
-    return search.topk(indexed.where(F.col("cell").isin([int(i) for i in order])), query, k, metric, vector, key)
+    return search.topk(indexed.where(F.col("cell").isin(nearest_cells(centres, query, nprobe))), query, k, metric, vector, key)
 
 
 def batch_probe(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, nprobe: int, metric: str = "cosine", vector: str = "vector", key: str = "id") -> DataFrame:
-    """Rows (query_id, rank, id, score): an equi-join of queries and vectors on the probed cells."""
-
-    def cells(v: pa.Array) -> pa.Array:
-        x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
-        return pa.array(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :nprobe].astype(np.int32).tolist(), pa.list_(pa.int32()))
-
-    cells.__annotations__ = {"v": pa.Array, "return": pa.Array}
-    from lodevec.functions import vectors
-
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q"), F.explode(F.arrow_udf(cells, "array<int>")(F.col(vector).cast("array<double>"))).alias("cell"))
-    pairs = indexed.select(F.col(key).alias("id"), F.col(vector).alias("__v"), "cell").join(q, "cell")
-    pairs = pairs.select("query_id", "id", vectors.similarity(F.col("__v"), F.col("__q"), metric).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Rows (query_id, rank, id, score): the k best within each query's nprobe cells.
+
+    Queries are broadcast in blocks of bounded size, as in search.batch_topk; the index is scanned
+    where it lies and not shuffled, so a cell of any size is split as its files are. Of a batch,
+    each cell's vectors meet the queries that probe it in one matrix product.
+    """
+    sc, out = indexed.sparkSession.sparkContext, None
+    for ids, q in search.query_blocks(queries, vector, key):
+        near = _near(q, centres, nprobe)
+        sent = sc.broadcast((ids.astype(np.int64), q, near))
+
+        def run(batches, sent=sent):
+            ids, q, near = sent.value
+            best = search.Best(q, k, metric)
+            asked = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+            for b in batches:
+                cell, own, v = b.column(2).to_numpy(), b.column(0).to_numpy(), search.vectors_of(b.column(1))
+                for c in np.unique(cell).tolist():
+                    if c in asked:
+                        best.add(own[cell == c], v[cell == c], asked[c])
+            yield best.batch(ids)
+
+        cells = [int(c) for c in np.unique(near)]
+        own = indexed.where(F.col("cell").isin(cells)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), "cell")
+        hits = search.ranked(own.mapInArrow(run, search.HITS), k)
+        out = hits if out is None else out.unionByName(hits)
+    return indexed.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double") if out is None else out
 
 
 def sweep(collection: DataFrame, queries: DataFrame, lists: int, probes: list[int], k: int = 10, metric: str = "cosine") -> list[tuple[int, float]]:

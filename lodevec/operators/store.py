@@ -3,20 +3,28 @@
 A commit stages its files under a directory of its own and then publishes `_commits/N.json` by an
 atomic create; readers see published commits only, so a crash leaves files nobody reads. Ids are
 dense, from 0 in commit order, and never reused. Deletes are tombstone files; a live read is an
-anti join. One writer wins a commit number, another gets a ConflictError.
+anti join. One writer wins a commit number, another gets a ConflictError: manifests are published by
+a hard link on a local file system and by a rename that doesn't overwrite elsewhere, which HDFS makes
+atomic. An object store without such a rename needs a single writer.
+
+`build_index` keeps inverted lists beside the commits (`ivf`): a search with nprobe reads the nearest
+cells and the rows put since, without deleted ones.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import vectors
-from lodevec.operators import search
+from lodevec.operators import ivf, search
 
 FORMAT = 2
 DTYPES = ("float32", "float16", "int8")
@@ -46,7 +54,10 @@ class Files:
         jvm = spark._jvm
         self.Path, self.root = jvm.org.apache.hadoop.fs.Path, root
         self.fs = self.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.jvm = jvm
+        self.jvm, self.gateway = jvm, spark.sparkContext._gateway
+
+    def _local(self, path):
+        return self.jvm.java.io.File(path.toUri().getPath()).toPath()
 
     def at(self, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), *parts])
@@ -66,25 +77,52 @@ class Files:
             s.close()
 
     def publish(self, text: str, *parts: str) -> None:
-        """Create a file that must not exist; its content is whole as soon as its name is there."""
+        """Create a file that must not exist; its content is whole as soon as its name is there, and one writer wins."""
         target, tmp = self.Path(self.at(*parts)), self.Path(self.at(*parts[:-1], f".{uuid.uuid4().hex}"))
         s = self.fs.create(tmp, False)
         s.write(bytearray(text.encode()))
         s.close()
-        if self.fs.exists(target) or not self.fs.rename(tmp, target):
+        try:
+            if self.fs.getScheme() == "file":
+                self.jvm.java.nio.file.Files.createLink(self._local(target), self._local(tmp))
+            else:
+                rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+                options = self.gateway.new_array(rename, 1)
+                options[0] = rename.NONE
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.fs.getConf()).rename(tmp, target, options)
+        except Py4JJavaError as e:
+            name = e.java_exception.getClass().getSimpleName()
+            if name != "FileAlreadyExistsException":
+                raise
+            raise ConflictError(self.at(*parts)) from None
+        finally:
             self.fs.delete(tmp, False)
-            raise ConflictError(self.at(*parts))
 
     def delete(self, *parts: str) -> None:
         self.fs.delete(self.Path(self.at(*parts)), True)
 
 
+def _counts_failures(name: str):
+    def wrap(f):
+        @functools.wraps(f)
+        def run(self, *args, **how):
+            try:
+                return f(self, *args, **how)
+            except Exception:
+                self.counters[name + "_failed"] += 1
+                raise
+
+        return run
+
+    return wrap
+
+
 class Collection:
     """A transactional table (id, vector, text, ts)."""
 
     def __init__(self, spark: SparkSession, path: str, dim: int | None = None, metric: str = "ip", dtype: str = "float32", max_vectors: int = 0):
         self.spark, self.path, self.files, self.max_vectors = spark, path, Files(spark, path), max_vectors
-        self.counters = dict.fromkeys(("put", "put_batch", "delete", "update", "search", "search_ts", "sync", "compact"), 0)
+        self.counters = dict.fromkeys(("put", "put_failed", "put_batch", "put_batch_failed", "delete", "delete_failed", "update", "update_failed", "search", "search_failed", "search_ts", "search_ts_failed", "sync", "compact"), 0)
         if metric not in vectors.METRICS or dtype not in DTYPES:
             raise ValueError(f"metric is one of {vectors.METRICS}, dtype one of {DTYPES}")
         if not self.files.exists("_commits", "0.json"):
@@ -105,9 +143,14 @@ class Collection:
     def _publish(self, n: int, state: dict) -> None:
         self.files.publish(json.dumps({k: v for k, v in state.items() if k != "commit"}), "_commits", f"{n}.json")
 
-    def _commit(self, rows: DataFrame | None = None, n_rows: int = 0, dead: DataFrame | None = None, n_dead: int = 0) -> dict:
-        """Stage files, then publish: readers get all of a commit or none."""
-        s, tag = dict(self.state), uuid.uuid4().hex
+    def _commit(self, rows: DataFrame | None = None, n_rows: int = 0, dead: DataFrame | None = None, n_dead: int = 0, external: DataFrame | None = None, mark: tuple[str, int] | None = None, **more) -> dict:
+        """Stage files, then publish: readers get all of a commit (rows, deletes, external ids, a stream's progress) or none."""
+        s, tag = dict(self.state) | more, uuid.uuid4().hex
+        if external is not None:
+            external.select("external", "id").write.parquet(self.files.at("external", tag))
+            s["external"] = [*s.get("external", []), tag]
+        if mark is not None:
+            s["streams"] = s.get("streams", {}) | {mark[0]: mark[1]}
         if rows is not None:
             scale = 1.0
             if self.dtype == "int8":
@@ -153,7 +196,7 @@ class Collection:
 
     def rows(self) -> DataFrame:
         """Live rows."""
-        return search.live(self.all_rows(), self.tombstones()) if self.state["tombstones"] else self.all_rows()
+        return self._live(self.all_rows())
 
     def raw_vectors(self) -> DataFrame:
         """Vectors of all rows in id order; float32 collections only."""
@@ -166,11 +209,55 @@ class Collection:
     def count_live(self) -> int:
         return max(0, self.state["next_id"] - self.state["deleted"])
 
-    def search(self, query: Sequence[float], k: int = 5) -> DataFrame:
+    @_counts_failures("search")
+    def search(self, query: Sequence[float], k: int = 5, nprobe: int = 0) -> DataFrame:
+        """The k nearest live rows: exact, or with nprobe by the index (see build_index)."""
         self._check(query)
         self.counters["search"] += 1
-        return search.topk(self.rows(), query, k, self.metric).select("id", "score", "text", "ts", "rank")
-
+        if not nprobe:
+            return search.topk(self.rows(), query, k, self.metric).select("id", "score", "text", "ts", "rank")
+        indexed, centres, fresh = self._indexed()
+        cells = ivf.nearest_cells(centres, query, nprobe)
+        own = indexed.where(F.col("cell").isin(cells)).select("id", "vector").unionByName(fresh)
+        hits = search.settled(search.topk(self._live(own), query, k, self.metric).select("id", "score", "rank"))
+        return search.attach(hits, self.all_rows().select("id", "text", "ts")).select("id", "score", "text", "ts", "rank")
+
+    def batch_search(self, queries: DataFrame, k: int = 5, nprobe: int = 0) -> DataFrame:
+        """Rows (query_id, rank, id, score) for a table of queries (id, vector): exact, or with nprobe by the index."""
+        if not nprobe:
+            return search.batch_topk(self.rows(), queries, k, self.metric)
+        indexed, centres, fresh = self._indexed()
+        found = ivf.batch_probe(self._live(indexed), centres, queries, k, nprobe, self.metric)
+        return search.ranked(found.drop("rank").unionByName(search.batch_topk(self._live(fresh), queries, k, self.metric).drop("rank")), k)
+
+    def build_index(self, lists: int = 0) -> None:
+        """Inverted lists over the live rows, published as a commit of its own; lists of 0: the square root of the rows.
+
+        Centres are fitted on a bounded sample (ivf.SAMPLE rows), every row is indexed. Cells are a
+        partition column, so a search reads the files of its cells only; large cells are split over
+        several files.
+        """
+        rows = self.rows().select("id", "vector")
+        centres = ivf.fit(rows, lists or max(1, int(self.count_live() ** 0.5)))
+        tag = uuid.uuid4().hex
+        cells = ivf.assign(rows, centres).hint("rebalance", "cell")
+        cells.write.partitionBy("cell").parquet(self.files.at("index", tag))
+        self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").write.parquet(self.files.at("index", tag + "-centres"))
+        self._commit(index={"dir": tag, "upto": self.state["next_id"], "elements": self.count_live()})
+
+    def _indexed(self) -> tuple[DataFrame, np.ndarray, DataFrame]:
+        """The index's rows (id, vector, cell), its centres, and the rows put since."""
+        at = self.state.get("index")
+        if not at:
+            raise ValueError("the collection has no index; see build_index")
+        read = lambda d: self.spark.read.parquet(self.files.at("index", d))
+        centres = np.array([r["centre"] for r in read(at["dir"] + "-centres").orderBy("cell").collect()])
+        return read(at["dir"]), centres, self.all_rows().where(F.col("id") >= at["upto"]).select("id", "vector")
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        return search.live(rows, self.tombstones()) if self.state["tombstones"] else rows
+
+    @_counts_failures("search_ts")
     def search_ts_range(self, query: Sequence[float], k: int = 5, start: str = "", end: str = "", candidate_k: int = 0, mode: str = "post") -> DataFrame:
         self._check(query)
         self.counters["search_ts"] += 1
@@ -182,29 +269,48 @@ class Collection:
 
     # ------------------------------------------------------------ writes
 
+    @_counts_failures("put")
     def put(self, vector: Sequence[float], text: str = "", ts: str = "") -> int:
         self._check(vector)
         self.counters["put"] += 1
-        return self.put_batch(self.spark.createDataFrame([([float(x) for x in vector], text, ts)], "vector array<float>, text string, ts string"), None, count=False)[0]
+        return self._append(self.spark.createDataFrame([([float(x) for x in vector], text, ts)], "vector array<float>, text string, ts string"))[0]
 
-    def put_batch(self, rows: DataFrame, order: str | None = None, count: bool = True) -> range:
-        """Append rows (vector, and text and ts if there) in one commit; returns their ids.
+    @_counts_failures("put_batch")
+    def put_batch(self, rows: DataFrame, order: str | None = None, dead: DataFrame | None = None, mark: tuple[str, int] | None = None) -> range:
+        """Append rows (vector, and text and ts if there; external, if there, names them) in one commit; returns their ids.
 
-        Ids follow `order`, or the rows' order in the DataFrame; zipWithIndex makes them dense
-        with one counting pass and no shuffle.
+        Ids follow `order`, or the rows' order in the DataFrame. dead: ids to delete in the same
+        commit. mark: a stream's name and batch number, which the commit remembers.
         """
-        self.counters["put_batch"] += count
+        self.counters["put_batch"] += 1
+        return self._append(rows, order, dead, mark)
+
+    def _append(self, rows: DataFrame, order: str | None = None, dead: DataFrame | None = None, mark: tuple[str, int] | None = None) -> range:
+        """Rows are staged with their place (partition and row of it); the partitions' sizes make places dense ids."""
         for c in ("text", "ts"):
             rows = rows if c in rows.columns else rows.withColumn(c, F.lit(""))
-        rows = (rows.orderBy(order) if order else rows).select(F.col("vector").cast("array<float>").alias("vector"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("ts", F.lit("")).alias("ts"))
-        n, bad = rows.agg(F.count("*"), F.count(F.when(F.col("vector").isNull() | (F.size("vector") != self.dim), 1))).first()
-        if bad:
-            raise ValueError(f"{bad} vectors don't have {self.dim} components")
-        first = self.state["next_id"]
-        if n:
-            check_quota(self.count_live(), n, self.max_vectors)
-            ids = rows.rdd.zipWithIndex().map(lambda r: (r[1] + first, *r[0]))
-            self._commit(self.spark.createDataFrame(ids, SCHEMA), n)
+        named = [F.col("external")] if "external" in rows.columns else []
+        rows = (rows.orderBy(order) if order else rows).select(F.col("vector").cast("array<float>").alias("vector"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("ts", F.lit("")).alias("ts"), *named)
+        staging = ("_staging", uuid.uuid4().hex)
+        rows.withColumn("__place", F.monotonically_increasing_id()).write.parquet(self.files.at(*staging))
+        try:
+            rows = self.spark.read.parquet(self.files.at(*staging)).withColumn("__part", F.shiftright("__place", 33))
+            wrong = F.col("vector").isNull() | (F.size("vector") != self.dim)
+            parts = rows.groupBy("__part").agg(F.count("*").alias("n"), F.count(F.when(wrong, 1)).alias("bad"))
+            n, bad = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+            if bad:
+                raise ValueError(f"{bad} vectors don't have {self.dim} components")
+            first, n_dead = self.state["next_id"], self._known(dead) if dead is not None else 0
+            if not n and not n_dead:
+                return range(first, first)
+            check_quota(self.count_live() - n_dead, n, self.max_vectors)
+            before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per partition
+            starts = parts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+            at = F.col("__place") - F.shiftleft(F.col("__part"), 33)
+            rows = rows.join(starts, "__part").withColumn("id", F.lit(first).cast("bigint") + F.col("__start") + at)
+            self._commit(rows.select("id", "vector", "text", "ts") if n else None, n, dead.select("id").distinct() if n_dead else None, n_dead, rows.select("external", "id") if named and n else None, mark)
+        finally:
+            self.files.delete(*staging)
         return range(first, first + n)
 
     def _known(self, ids: DataFrame) -> int:
@@ -216,6 +322,7 @@ class Collection:
             raise KeyError("unknown or deleted id")
         return n
 
+    @_counts_failures("delete")
     def delete(self, ids: int | DataFrame) -> int:
         """Tombstone an id or a table of ids; deleting twice is an error."""
         d = self.spark.createDataFrame([(ids,)], "id bigint") if isinstance(ids, int) else ids
@@ -225,6 +332,7 @@ class Collection:
             self._commit(dead=d.distinct(), n_dead=n)
         return n
 
+    @_counts_failures("update")
     def update(self, id: int, vector: Sequence[float], text: str = "", ts: str = "") -> int:
         """Replace a row: tombstone and append in one commit; returns the new id."""
         self._check(vector)
@@ -248,6 +356,25 @@ class Collection:
         ids = [(r["id"],) for r in self.search(query, k).select("id").collect()]  # k rows
         return self.delete(self.spark.createDataFrame(ids, "id bigint")) if ids else 0
 
+    def merge(self) -> int:
+        """Rewrite the row files of many small commits as one set of files in one commit; ids and reads stay the same.
+
+        Returns how many directories became fewer. Older readers still find the old files.
+        """
+        s, out = self.state["rows"], []
+        for scale in dict.fromkeys(r["scale"] for r in s):
+            dirs = [r["dir"] for r in s if r["scale"] == scale]
+            if len(dirs) > 1:
+                tag = uuid.uuid4().hex
+                self.spark.read.parquet(*(self.files.at("data", d) for d in dirs)).hint("rebalance").write.parquet(self.files.at("data", tag))
+                dirs = [tag]
+            out += [{"dir": d, "scale": scale} for d in dirs]
+        if len(out) < len(s):
+            n = self.state["commit"] + 1
+            self._publish(n, self.state | {"rows": out})
+            self.state = self.state | {"rows": out, "commit": n}
+        return len(s) - len(out)
+
     def sync(self) -> None:
         """Commits are durable when published; only the counter moves."""
         self.counters["sync"] += 1
@@ -266,7 +393,7 @@ class Collection:
     def stats(self) -> DataFrame:
         """One row of gauges and counters."""
         s = self.state
-        row = {"dim": s["dim"], "metric": s["metric"], "dtype": s["dtype"], "count": self.count(), "count_live": self.count_live(), "tombstones": s["deleted"], "commits": s["commit"], "files": len(s["rows"]), "staged": self.staged()} | {f"n_{k}": v for k, v in self.counters.items()}
+        row = {"dim": s["dim"], "metric": s["metric"], "dtype": s["dtype"], "count": self.count(), "count_live": self.count_live(), "tombstones": s["deleted"], "commits": s["commit"], "files": len(s["rows"]), "staged": self.staged(), "index_elements": s.get("index", {}).get("elements", 0)} | {f"n_{k}": v for k, v in self.counters.items()}
         return self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'bigint'}" for k, v in row.items()))
 
     def staged(self) -> int:
@@ -288,15 +415,15 @@ class Collection:
         return self.spark.createDataFrame(out, "check string, ok boolean, detail string")
 
     def snapshot(self, target: str) -> dict:
-        """Copy the files that the latest commit names, and a manifest."""
+        """Copy the files that the latest commit names, and a manifest. An index isn't copied."""
         to = Files(self.spark, target)
         if to.list():
             raise ValueError(f"{target} isn't empty")
         util, conf = self.spark._jvm.org.apache.hadoop.fs.FileUtil, self.spark._jsc.hadoopConfiguration()
-        for kind, dirs in (("data", [r["dir"] for r in self.state["rows"]]), ("tombstones", self.state["tombstones"])):
+        for kind, dirs in (("data", [r["dir"] for r in self.state["rows"]]), ("tombstones", self.state["tombstones"]), ("external", self.state.get("external", []))):
             for d in dirs:
                 util.copy(self.files.fs, self.files.Path(self.files.at(kind, d)), to.fs, to.Path(to.at(kind, d)), False, conf)
-        to.publish(json.dumps({k: v for k, v in self.state.items() if k != "commit"}), "_commits", "0.json")
+        to.publish(json.dumps({k: v for k, v in self.state.items() if k not in ("commit", "index")}), "_commits", "0.json")
         info = {"format": "collection-snapshot", "format_version": FORMAT, "dim": self.dim, "count": self.count(), "count_live": self.count_live()}
         to.publish(json.dumps(info), "snapshot.json")
         return info
@@ -307,16 +434,16 @@ class Collection:
         at, to = Files(spark, snapshot), Files(spark, target)
         if not at.exists("snapshot.json") or json.loads(at.read("snapshot.json"))["format"] != "collection-snapshot":
             raise ValueError(f"{snapshot} is no snapshot")
-        if to.list():
-            if not force:
-                raise ValueError(f"{target} isn't empty")
-            to.delete()
-        cls(spark, snapshot)._copy_to(target)
+        if to.list() and not force:
+            raise ValueError(f"{target} isn't empty")
+        copy = Files(spark, f"{target.rstrip('/')}.restoring-{uuid.uuid4().hex}")
+        cls(spark, snapshot).snapshot(copy.root)
+        cls(spark, copy.root)  # readable: only now may the target go
+        to.delete()
+        if not to.fs.rename(to.Path(copy.root), to.Path(target)):
+            raise OSError(f"{copy.root} could not be renamed to {target}")
         return cls(spark, target)
 
-    def _copy_to(self, target: str) -> None:
-        self.snapshot(target)
-
     @staticmethod
     def upgrade(spark: SparkSession, path: str, apply: bool = False) -> list[str]:
         """What an older manifest lacks; with apply, a commit that has it."""
@@ -363,32 +490,24 @@ class Catalog:
 
 
 class ExternalIds:
-    """A persisted map from a caller's ids to row ids, beside the collection's commits."""
+    """A persisted map from a caller's ids to row ids, part of the collection's commits."""
 
     def __init__(self, collection: Collection):
         self.c = collection
 
     def table(self) -> DataFrame:
         """Rows (external, id) of live rows; the latest id of each external one."""
-        dirs = self.c.files.list("_external")
+        dirs = self.c.state.get("external", [])
         if not dirs:
             return self.c.spark.createDataFrame([], "external string, id bigint")
-        t = self.c.spark.read.parquet(*(self.c.files.at("_external", d) for d in dirs))
+        t = self.c.spark.read.parquet(*(self.c.files.at("external", d) for d in dirs))
         return search.live(t.groupBy("external").agg(F.max("id").alias("id")), self.c.tombstones())
 
     def upsert(self, rows: DataFrame) -> int:
-        """rows (external, vector, text, ts): known ids are replaced, others appended; returns the number of rows."""
-        rows = rows.dropDuplicates(["external"]).orderBy("external").cache()
-        before = self.c.state["next_id"]
-        ids = self.c.put_batch(rows, "external")
-        numbered = rows.select("external").orderBy("external").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1] + ids.start))
-        self.c.spark.createDataFrame(numbered, "external string, id bigint").write.parquet(self.c.files.at("_external", uuid.uuid4().hex))
-        replaced = self.c.spark.read.parquet(*(self.c.files.at("_external", d) for d in self.c.files.list("_external"))).where(F.col("id") < before)
-        dead = search.live(replaced.join(rows.select("external"), "external", "left_semi"), self.c.tombstones()).select("id").distinct()
-        if dead.limit(1).count():
-            self.c.delete(dead)
-        rows.unpersist()
-        return len(ids)
+        """rows (external, vector, text, ts): known ids are replaced, others appended, in one commit; returns the number of rows."""
+        rows = rows.dropDuplicates(["external"])
+        dead = self.table().join(rows.select("external"), "external", "left_semi").select("id")
+        return len(self.c.put_batch(rows, "external", dead=dead))
 
     def hits(self, hits: DataFrame) -> DataFrame:
         """hits with external."""

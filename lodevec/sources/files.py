@@ -156,20 +156,18 @@ def manifest_diff(files: DataFrame, manifest: DataFrame, root: str = "") -> Data
 def index_files(collection, files: DataFrame, manifest: DataFrame, embed, chunk_size: int = chunking.TARGET, mode: str = "auto", root: str = "") -> tuple[DataFrame, DataFrame]:
     """Bring a collection up to date with files (path, mtime_ms, size, text): (new manifest, summary by status).
 
-    Deletes go with the ids of changed and removed files; the new files' chunks come in one commit.
+    Changed and removed files' ids are deleted and the new chunks appended in one commit.
     """
     f = files.withColumns({"chunk_size": F.lit(chunking.clamp_size(chunk_size)), "chunk_mode": chunking.mode_of(F.col("path"), mode)})
     diff = manifest_diff(f, manifest, root).cache()
     summary = diff.groupBy("status").agg(F.count("*").alias("n_files"))
     dead = diff.where("ids IS NOT NULL").select(F.explode("ids").alias("id"))
-    if dead.limit(1).count():
-        collection.delete(dead)
     todo = f.join(diff.where("status IN ('new', 'changed')").select("path"), "path", "left_semi")
     c = chunking.chunk(todo, F.col("chunk_mode"), keep=["path", "chunk_size"], target=chunking.clamp_size(chunk_size)).where("chunk <> ''")
     c = c.withColumn("text", T.file_label(F.col("path"), F.col("chunk_index") + 1, F.col("n_chunks"), F.col("chunk")))
     c = c.orderBy("path", "chunk_index").select(embed(F.col("chunk")).alias("vector"), "text", T.iso_now().alias("ts"))
     first = collection.count()
-    n = len(collection.put_batch(c))
+    n = len(collection.put_batch(c, dead=dead))
     paths = collection.all_rows().where((F.col("id") >= first) & (F.col("id") < first + n)).groupBy(T.label_path(F.col("text")).alias("path")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
     fresh = todo.select("path", "mtime_ms", "size", "chunk_size", "chunk_mode").join(paths, "path", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
     kept = manifest.join(diff.where("status = 'unchanged'").select("path"), "path", "left_semi")

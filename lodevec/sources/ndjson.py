@@ -30,29 +30,38 @@ def write_ndjson(rows: DataFrame, path: str, start: int = 0, end: int = 0, singl
     (out.coalesce(1) if single else out).write.text(path)
 
 
-def parse_lines(lines: DataFrame, dim: int) -> DataFrame:
+def parse_lines(lines: DataFrame, dim: int, *keep: str) -> DataFrame:
     """Rows (vector, text, ts, problem) of text lines (value); blank lines are left out. problem is null for good lines."""
     j = F.from_json("value", LINE)
     v = vectors.decode_base64(F.col("j.vector"), dim)
     d = lines.where(F.trim("value") != "").withColumn("j", j)
     problem = F.when(F.col("j").isNull() | F.col("j.vector").isNull(), "malformed").when(F.col("v").isNull(), "short vector")
-    return d.withColumn("v", v).select(F.col("v").alias("vector"), F.coalesce("j.text", F.lit("")).alias("text"), F.coalesce("j.timestamp", F.lit("")).alias("ts"), problem.alias("problem"))
+    return d.withColumn("v", v).select(F.col("v").alias("vector"), F.coalesce("j.text", F.lit("")).alias("text"), F.coalesce("j.timestamp", F.lit("")).alias("ts"), problem.alias("problem"), *keep)
+
+
+def checked(parsed: DataFrame) -> DataFrame:
+    """Rows of parse_lines without problem; a bad line is an error when it is read."""
+    bad = F.raise_error(F.concat(F.lit("bad line: "), "problem"))
+    return parsed.withColumn("text", F.when(F.col("problem").isNotNull(), bad).otherwise(F.col("text"))).drop("problem")
 
 
 def read_ndjson(spark: SparkSession, path: str, dim: int, strict: bool = True) -> DataFrame:
     """Rows (vector, text, ts). A bad line is an error, or with strict off is left out."""
     d = parse_lines(spark.read.text(path), dim)
-    if strict:
-        return d.withColumn("text", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("bad line: "), "problem"))).otherwise(F.col("text"))).drop("problem")
-    return d.where("problem IS NULL").drop("problem")
+    return checked(d) if strict else d.where("problem IS NULL").drop("problem")
 
 
 def import_ndjson(collection, path: str, chunk_size: int = 1024, checkpoint_path: str = "", resume: bool = False) -> int:
     """Append a local file in chunks, each one commit; the checkpoint moves after its chunk's commit.
 
-    For files larger than a driver should read, use streaming.ingest. Returns the rows imported by
-    this call. A bad line ends the import; earlier chunks stay.
+    The driver reads one file, from an offset; a directory, such as an export, is read by the
+    executors and is one commit, in the order of the lines' ids. Returns the rows imported by this
+    call. A bad line ends the import; earlier chunks stay, and of a directory nothing does.
     """
+    if os.path.isdir(path):
+        lines = collection.spark.read.text(path)
+        place = F.from_json("value", "id bigint")["id"]
+        return len(collection.put_batch(checked(parse_lines(lines.withColumn("place", place), collection.dim, "place")), "place"))
     at = done = n = 0
     if resume and checkpoint_path and os.path.exists(checkpoint_path):
         with open(checkpoint_path) as f:

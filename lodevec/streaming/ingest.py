@@ -2,41 +2,24 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodevec.operators.store import ConflictError
 from lodevec.sources import ndjson
 
 
 def ingest(spark: SparkSession, source: str, collection, checkpoint: str, name: str = "ingest"):
     """Run all NDJSON files of a directory not yet seen into a collection, and end; returns the query.
 
-    Each batch is a commit, and its number is published beside it, so a batch that is replayed after
-    a crash is not appended twice: progress is read from the collection's own marker files.
+    Each batch is one commit, whose manifest holds the batch's number, so a batch that is replayed
+    after a crash is not appended twice. A malformed line fails its batch, which can be run again
+    when the line is mended: none is lost.
     """
     lines = spark.readStream.text(source)
 
     def commit(batch: DataFrame, number: int) -> None:
-        marker = ("_streams", f"{name}-{number}.json")
-        if collection.files.exists(*marker):
-            return
-        before = collection.state["commit"]
-        begun = ("_streams", f"{name}-{number}.begun")
-        if collection.files.exists(*begun):
-            if json.loads(collection.files.read(*begun))["commit"] < before:  # the commit came through, its marker didn't
-                collection.files.publish("{}", *marker)
-                return
-        else:
-            collection.files.publish(json.dumps({"commit": before}), *begun)
-        rows = ndjson.parse_lines(batch, collection.dim)
-        collection.put_batch(rows.where("problem IS NULL").drop("problem"))
-        try:
-            collection.files.publish("{}", *marker)
-        except ConflictError:
-            pass
+        if collection.state.get("streams", {}).get(name, -1) < number:
+            collection.put_batch(ndjson.checked(ndjson.parse_lines(batch, collection.dim)), mark=(name, number))
 
     q = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
