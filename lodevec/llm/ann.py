@@ -2,17 +2,18 @@
 
 Nearness is the largest inner product. Vectors x become (x, sqrt(M**2 - |x|**2)) with M the
 largest norm of the table, so that the nearest in Euclidean distance are those of largest inner
-product. Each of PROJECTIONS Gaussian projections is one sorted array of a block's vectors. A
-query opens a window of WIDTH around its own projection in every array, and virtual rehashing
-widens it by RATIO until at least VERIFY of the block (and 20 * k vectors) collide in SHARE of the
-arrays; these are verified by their exact inner products. Windows are found by bisection of the
-sorted arrays; collisions are counted by comparing ranks with the windows' ends, which for wide
-windows is faster than walking them. Windows too narrow for CALIBRATE of the block's own vectors
-are skipped.
+product. Each of PROJECTIONS random directions (orthonormal sets, so that together they keep
+distances better than independent ones) is one sorted array of a block's vectors, cut into 256
+buckets of equal size. A query opens a window around its own projection in every array and counts
+for each vector in how many windows it lies. Virtual rehashing widens the windows by RATIO, and
+only the buckets that they newly reach are walked and counted, until at least `need` vectors (8 * k
+and VERIFY of the block) collide in SHARE of the arrays; those are verified by their exact inner
+products. Windows too narrow for CALIBRATE of the block's own vectors are skipped: a query's first
+windows are counted by comparing the vectors' bucket numbers, one byte each.
 
 Scale: rows are staged with a number of their own and dealt to blocks by its hash, so that blocks
 are of even size whatever the ids are; a block's task holds its vectors and arrays (about
-block * (8 * d + 12 * PROJECTIONS) bytes) and reads a group of at most about QUERIES queries as a
+block * (8 * d + 5 * PROJECTIONS) bytes) and reads a group of at most about QUERIES queries as a
 stream, so neither memory nor a task's time grows with the table. Every query meets every block, as
 the queries are a stated set against all rows: queries are replicated once a block, blocks once a
 group, and k rows a query and block come back, of which the k best stay.
@@ -32,55 +33,75 @@ from pyspark.sql import functions as F
 
 from lodevec.llm.common import stage
 
-K, PROJECTIONS, WIDTH, RATIO, SHARE, VERIFY, BLOCK, QUERIES, SEED, CALIBRATE = 20, 128, 1.6, 1.07, 0.7, 0.1, 50_000, 50_000, 11, 16
+K, PROJECTIONS, WIDTH, RATIO, SHARE, VERIFY, BLOCK, QUERIES, SEED, CALIBRATE = 20, 128, 1.0, 1.04, 0.85, 0.006, 50_000, 50_000, 11, 16
+BUCKETS = 256
 
 
 def usable(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
+def directions(d: int, projections: int, seed: int = SEED) -> np.ndarray:
+    """d rows, a column a direction: orthonormal bases side by side, of length sqrt(d)."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(-(-projections // d)):
+        q, r = np.linalg.qr(rng.normal(size=(d, d)))
+        out.append(q * np.sign(np.diag(r)) * np.sqrt(d))
+    return np.hstack(out)[:, :projections]
+
+
 class Block:
-    """The index of one block of vectors: sorted projections, and each vector's rank in each."""
+    """The index of one block of vectors: in each array the order of the vectors, their buckets and the buckets' first values."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, norm: float, k: int = K, projections: int = PROJECTIONS, seed: int = SEED, verify: float = VERIFY):
         first = np.argsort(ids, kind="stable")
+        if projections > 255:
+            raise ValueError("collisions are counted in a byte: at most 255 projections")
         self.x, self.ids, self.m, self.level = np.ascontiguousarray(x[first], np.float64), ids[first], projections, 0
         n = len(ids)
-        self.need = n if n <= 8 * k else min(n, max(20 * k, int(verify * n)))
-        rng = np.random.default_rng(seed)  # the same for all blocks
-        self.a = rng.normal(size=(x.shape[1] + 1, projections))
+        self.need = min(n, 8 * k + int(np.ceil(verify * n)))
+        self.least = int(np.ceil(SHARE * projections))
+        self.a = directions(x.shape[1] + 1, projections, seed)  # the same for all blocks
         rest = np.sqrt(np.maximum(0.0, norm**2 - (self.x**2).sum(axis=1)))
         p = ((self.x @ self.a[:-1] + rest[:, None] * self.a[-1]) / norm).T
         order = np.argsort(p, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(p, order, axis=1)
-        self.rank = np.empty((projections, n), np.uint32)
-        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.uint32)[None, :], axis=1)
+        self.edge = -(-np.arange(BUCKETS + 1) * n // BUCKETS)  # a bucket's first rank
+        heads = np.take_along_axis(p, order[:, np.minimum(self.edge[:-1], n - 1)], axis=1)
+        self.heads = np.where(self.edge[:-1] < n, heads, np.inf)
+        self.order = order.astype(np.uint32)
+        self.bucket = np.empty((projections, n), np.uint8)
+        np.put_along_axis(self.bucket, order, (np.arange(n) * BUCKETS // n).astype(np.uint8)[None, :], axis=1)
         if self.need < n:  # narrower windows than these few need would be opened in vain
-            self.level = min(self.candidates(self.x[i])[1] for i in range(0, n, -(-n // CALIBRATE)))
+            self.level = max(0, min(self.candidates(self.x[i])[1] for i in range(0, n, -(-n // CALIBRATE))) - 1)
+
+    def _window(self, c: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that each array's window reaches: from, to."""
+        half = WIDTH / 2 * RATIO**level
+        lo = np.maximum(0, (self.heads <= (c - half)[:, None]).sum(axis=1) - 1)
+        return lo, np.maximum(lo, (self.heads <= (c + half)[:, None]).sum(axis=1))
 
     def candidates(self, q: np.ndarray) -> tuple[np.ndarray, int]:
         """Vectors that collide with q in at least SHARE of the arrays, in the first window in which enough do; its level."""
-        n, level = len(self.ids), self.level
-        if self.need >= n:
-            return np.arange(n), level
+        n, level, edge = len(self.ids), self.level, self.edge
         c = (q / np.sqrt((q * q).sum())) @ self.a[:-1]
-        least, inside, away = int(np.ceil(SHARE * self.m)), np.empty(n, bool), np.empty(n, np.uint32)
+        lo, hi = self._window(c, level)
+        counts, inside, away = np.zeros(n, np.uint8), np.empty(n, bool), np.empty(n, np.uint8)
+        for b, i, j in zip(self.bucket, lo.tolist(), hi.tolist()):
+            if j - i == BUCKETS:
+                counts += 1
+            elif j > i:
+                np.subtract(b, np.uint8(i), out=away)  # buckets before the window wrap around
+                np.less(away, np.uint8(j - i), out=inside)
+                np.add(counts, inside.view(np.uint8), out=counts)
         while True:
-            half = WIDTH / 2 * RATIO**level
-            counts, full = np.zeros(n, np.uint16), True
-            for s, r, v in zip(self.sorted, self.rank, c):
-                lo, hi = int(s.searchsorted(v - half, "left")), int(s.searchsorted(v + half, "right"))
-                full &= hi - lo == n
-                if hi - lo == n:
-                    counts += 1
-                elif hi > lo:
-                    np.subtract(r, np.uint32(lo), out=away)  # ranks before the window wrap around
-                    np.less(away, np.uint32(hi - lo), out=inside)
-                    counts += inside
-            hit = np.flatnonzero(counts >= least)
-            if len(hit) >= self.need or full:
+            hit = np.flatnonzero(counts >= self.least)
+            if len(hit) >= self.need or (hi - lo).min() == BUCKETS:
                 return hit, level
             level += 1
+            before, (lo, hi) = (lo, hi), self._window(c, level)
+            new = [o[edge[x] : edge[y]] for o, ends in zip(self.order, zip(lo, before[0], before[1], hi)) for x, y in (ends[:2], ends[2:]) if x < y]
+            if new:
+                counts += np.bincount(np.concatenate(new), minlength=n).astype(np.uint8)
 
     def search(self, q: np.ndarray, me: int | None, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact inner products of the k nearest found, without `me`, nearest first."""
