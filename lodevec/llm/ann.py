@@ -8,7 +8,7 @@ buckets of equal size. A query opens a window around its own projection in every
 for each vector in how many windows it lies. Virtual rehashing widens the windows by RATIO, and
 only the buckets that they newly reach are walked and counted, until at least `need` vectors (8 * k
 and VERIFY of the block) collide in SHARE of the arrays; those are verified by their exact inner
-products. Windows too narrow for CALIBRATE of the block's own vectors are skipped: a query's first
+products. Windows too narrow for three in four of CALIBRATE vectors of the block are skipped: a query's first
 windows are counted by comparing the vectors' bucket numbers, one byte each.
 
 Scale: rows are staged with a number of their own and dealt to blocks by its hash, so that blocks
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodevec.llm.common import stage
 
-K, PROJECTIONS, WIDTH, RATIO, SHARE, VERIFY, BLOCK, QUERIES, SEED, CALIBRATE = 20, 128, 1.0, 1.04, 0.85, 0.006, 50_000, 50_000, 11, 16
+K, PROJECTIONS, WIDTH, RATIO, SHARE, VERIFY, BLOCK, QUERIES, SEED, CALIBRATE = 20, 128, 1.0, 1.02, 0.85, 0.013, 50_000, 50_000, 11, 16
 BUCKETS = 256
 
 
@@ -71,8 +71,9 @@ class Block:
         self.order = order.astype(np.uint32)
         self.bucket = np.empty((projections, n), np.uint8)
         np.put_along_axis(self.bucket, order, (np.arange(n) * BUCKETS // n).astype(np.uint8)[None, :], axis=1)
-        if self.need < n:  # narrower windows than these few need would be opened in vain
-            self.level = max(0, min(self.candidates(self.x[i])[1] for i in range(0, n, -(-n // CALIBRATE))) - 1)
+        if self.need < n:  # narrower windows than most of these need would be opened in vain
+            levels = sorted(self.candidates(self.x[i])[1] for i in range(0, n, -(-n // CALIBRATE)))
+            self.level = max(0, levels[len(levels) // 4] - 2)
 
     def _window(self, c: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """The buckets that each array's window reaches: from, to."""
