@@ -144,7 +144,7 @@ def decode_base64(text: Column, dim: int) -> Column:
     """The first dim floats of base64 text; null if it holds fewer. A last incomplete group of four characters is ignored."""
     whole = F.substring(text, 1, (F.length(text) - F.length(text) % 4).cast("int"))
     raw = F.unbase64(whole)
-    return F.when(F.octet_length(raw) >= dim * 4, _from_bytes(F.substring(raw, 1, dim * 4)))
+    return _from_bytes(F.when(F.octet_length(raw) >= dim * 4, F.substring(raw, 1, dim * 4)))  # a Python function sees every row, whatever guards it
 
 
 def _bytes_of(convert):
