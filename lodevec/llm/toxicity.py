@@ -162,9 +162,10 @@ def scorer(bias: float, model: dict[str, float]):
     base = 1 / (1 + exp(-max(-30.0, bias)))
     misses: set[str] = set()  # words without a weight
     sets: dict[str, frozenset] = {}
+    heads = {f[1:4] for f in model}  # every word with a weight begins like a feature
 
     def look(w: str) -> bool:
-        hit = frozenset(f for f in features(w) if f in model)
+        hit = w.lower()[:3] in heads and frozenset(f for f in features(w) if f in model)
         if hit:
             sets[w] = hit
         elif len(misses) < CACHE:
