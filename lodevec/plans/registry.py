@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -508,14 +509,14 @@ def base64_roundtrip(spark, d):
 BODY = "(SELECT vec_id, 'row ' || vec_id || ' ' || coalesce(text, '') AS body FROM embeddings LEFT JOIN documents ON doc_id = vec_id) AS b"
 
 
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="lodevec-query-")
-
-
 def _folder(spark) -> str:
-    """A new folder in the session's shared folder, or a local one where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + _scratch()
-    return f"{at}/{os.path.basename(_scratch())}"
+    """A new folder in the session's shared folder; on one machine, where that is unset, in a temporary one."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="lodevec-query-")
+    return f"{at}/lodevec-query-{uuid.uuid4().hex}"
 
 
 def _collection(spark, d, **how) -> store.Collection:
