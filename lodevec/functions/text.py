@@ -96,12 +96,20 @@ def namespace_slug(text: Column, prefix: str = "project-") -> Column:
     return F.concat(F.lit(prefix), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
 
 
+_NAMESPACE = r"[A-Za-z0-9_.-]+"
+
+
 def valid_namespace(name: str) -> str:
-    if not re.fullmatch(r"[A-Za-z0-9_.-]+", name or "") or name in (".", ".."):
+    if not re.fullmatch(_NAMESPACE, name or "") or name in (".", ".."):
         raise ValueError(f"not a namespace: {name!r}")
     return name
 
 
+def is_namespace(name: Column) -> Column:
+    """The same as an expression; false for null."""
+    return F.coalesce(name.rlike(rf"\A{_NAMESPACE}\z") & ~name.isin(".", ".."), F.lit(False))
+
+
 def iso_now() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodevec.functions import sizing, vectors
 from lodevec.functions import text as T
 from lodevec.operators import chunking, hybrid, ivf, search, store
+from lodevec.plans import memory
 from lodevec.sources import embed, files, ndjson
 from lodevec.streaming import ingest
 
@@ -449,6 +450,14 @@ done AS (SELECT u, out FROM e UNION ALL SELECT u.u AS u, out FROM cut WHERE u.k
 }
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(generate_series(0, CAST(greatest(0, ceil((length(text) - 128) / 108.0)) AS BIGINT))) AS i, text FROM documents)
+SELECT doc_id, CAST(i * 108 AS INTEGER) AS "offset", regexp_replace(substr(text, i * 108 + 1, 128), '^\\s+|\\s+$', '', 'g') AS chunk FROM w WHERE regexp_replace(substr(text, i * 108 + 1, 128), '^\\s+|\\s+$', '', 'g') <> ''""")
+def chunk_clamped(spark, d):
+    """A size below the least is raised to it: 128 characters."""
+    w = chunking.char_windows(F.col("text"), chunking.clamp_size(1), 20)
+    return table(spark, d, "documents").select("doc_id", F.explode(w).alias("c")).select("doc_id", "c.offset", "c.chunk")
+
+
 def _chunked(name: str, mode: str):
     def run(spark, d):
         t = table(spark, d, "documents").select("doc_id", "text")
@@ -579,11 +588,84 @@ def doctor_checks(spark, d):
     return c.doctor().select("check", "ok")
 
 
-@query("SELECT count(*) AS count, count(*) - 1 AS count_live, CAST(1 AS BIGINT) AS tombstones, CAST(2 AS BIGINT) AS commits, CAST(1 AS BIGINT) AS n_put_batch, CAST(1 AS BIGINT) AS n_delete FROM embeddings")
+@query("""SELECT count(*) AS count, count(*) - 1 AS count_live, CAST(1 AS BIGINT) AS tombstones, CAST(2 AS BIGINT) AS commits, CAST(1 AS BIGINT) AS n_put_batch, CAST(1 AS BIGINT) AS n_delete,
+CAST(1 AS BIGINT) AS n_delete_failed, CAST(1 AS BIGINT) AS n_sync, CAST(0 AS BIGINT) AS staged, CAST(0 AS BIGINT) AS index_elements FROM embeddings""")
 def collection_stats(spark, d):
     c = _collection(spark, d)
     c.delete(5)
-    return c.stats().select("count", "count_live", "tombstones", "commits", "n_put_batch", "n_delete")
+    try:
+        c.delete(5)
+    except KeyError:  # deleting twice is an error, and counted as one
+        pass
+    c.sync()
+    return c.stats().select("count", "count_live", "tombstones", "commits", "n_put_batch", "n_delete", "n_delete_failed", "n_sync", "staged", "index_elements")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS id, embedding AS vector FROM embeddings")
+def raw_vectors(spark, d):
+    """Deleted rows' vectors are there, too."""
+    c = _collection(spark, d)
+    c.delete(3)
+    return c.raw_vectors()
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS id, body AS text FROM {BODY} WHERE vec_id % 7 <> 3")
+def ndjson_import(spark, d):
+    """A collection's export into another one."""
+    c, at = _collection(spark, d), _folder(spark)
+    c.delete(tombs(c.all_rows()))
+    ndjson.write_ndjson(c.rows(), at)
+    to = store.Collection(spark, _folder(spark), 64)
+    ndjson.import_ndjson(to, at)
+    return to.rows().select("id", "text")
+
+
+@query("SELECT lang AS ns, count(*) AS count, count(*) FILTER (WHERE n <> 1) AS count_live, CAST(64 AS INTEGER) AS dim FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY vec_id) AS n FROM embeddings JOIN documents ON doc_id = vec_id) GROUP BY lang")
+def catalog_namespaces(spark, d):
+    """A namespace a language, the first row of each deleted."""
+    c = store.Catalog(spark, _folder(spark), dim=64)
+    e = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "text"), "vec_id").withColumn("vector", F.col("embedding"))
+    for r in e.select("lang").distinct().collect():  # the languages
+        n = c.open(r["lang"])
+        n.put_batch(e.where(F.col("lang") == r["lang"]), "vec_id")
+        n.delete(0)
+    return c.stats()
+
+
+@query("SELECT page_id, regexp_full_match(slug, '[A-Za-z0-9_.-]+') AND slug NOT IN ('.', '..') AS ok FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url WHEN page_id % 5 = 1 THEN '..' WHEN page_id % 5 = 2 THEN '' ELSE 'page-' || page_id END AS slug FROM pages)")
+def namespace_names(spark, d):
+    p = table(spark, d, "pages")
+    slug = F.when(F.col("page_id") % 5 == 0, F.col("url")).when(F.col("page_id") % 5 == 1, "..").when(F.col("page_id") % 5 == 2, "").otherwise(F.concat(F.lit("page-"), F.col("page_id")))
+    return p.select("page_id", T.is_namespace(slug).alias("ok"))
+
+
+@query("""WITH t AS (SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY lang)
+SELECT lang, least(n, 500) AS found, (SELECT sum(n) FROM t)::BIGINT AS count FROM t""")
+def memory_filtered(spark, d):
+    """Texts of two languages under their tags; a search among those of each finds them and no others."""
+    m = memory.Memory(spark, _folder(spark), dim=32)
+    t = table(spark, d, "documents").where("lang IN ('en', 'de')")
+    for lang in ("en", "de"):
+        m.index(t.where(F.col("lang") == lang), "notes", tags={"lang": lang})
+    n = m.info("notes").first()["count_live"]
+    found = [(lang, m.search("words of any kind", "notes", 500, wanted={"lang": lang}, mode="pre").count(), n) for lang in ("en", "de")]
+    return spark.createDataFrame(found, "lang string, found bigint, count bigint")
+
+
+@query("""WITH f AS (SELECT page_id, page_id % 4 AS k FROM pages)
+SELECT status, count(*) AS n_files, (SELECT count(DISTINCT page_id) FROM f WHERE k <> 0) AS n_live FROM (SELECT unnest(CASE k WHEN 0 THEN ['removed'] WHEN 1 THEN ['changed'] WHEN 2 THEN ['new'] ELSE ['unchanged'] END) AS status FROM f) GROUP BY status""")
+def index_files_summary(spark, d):
+    """Pages as files: a first run without some of them, a second with those, some changed and some gone."""
+    c, e = store.Collection(spark, _folder(spark), 32, "cosine"), embed.hashing_embedder(32)
+    p = table(spark, d, "pages")
+    f = p.select("page_id", F.concat(F.lit("p"), F.col("page_id"), F.lit(".txt")).alias("path"), F.lit(1).cast("bigint").alias("mtime_ms"), F.concat(F.lit("page "), F.col("page_id")).alias("text")).withColumn("size", F.length("text").cast("bigint"))
+    k = F.col("page_id") % 4
+    first, _ = files.index_files(c, f.where(k != 2).drop("page_id"), spark.createDataFrame([], files.MANIFEST), e)
+    at = _folder(spark)
+    first.write.parquet(at)
+    later = f.where(k != 0).withColumn("mtime_ms", F.when(k == 1, 2).otherwise(1).cast("bigint"))
+    _, summary = files.index_files(c, later.drop("page_id"), spark.read.parquet(at), e)
+    return summary.withColumn("n_live", F.lit(c.count_live()).cast("bigint"))
 
 
 @query(f"SELECT vec_id AS id, body AS text FROM {BODY} WHERE vec_id <> 1")
@@ -663,9 +745,12 @@ def file_labels(spark, d):
     return c.select("conv_id", "turn", "label", T.label_path(F.col("label")).alias("path"), T.strip_label(F.col("label")).alias("body"), T.namespace_slug(F.concat("role", F.lit(" Notes!")), "").alias("slug"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN length(text) > 20000 THEN 'length' END AS problem FROM documents")
+@query("""SELECT doc_id AS id, CASE WHEN length(text) + CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 1 ELSE 0 END > 2000 THEN 'length' WHEN doc_id % 5 = 1 THEN 'control' WHEN doc_id % 5 IN (2, 3) THEN 'hidden' END AS problem FROM documents""")
 def text_validation(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.text_problem(F.col("text"), 20_000).alias("problem"))
+    """Too long, or with a control character, a zero-width one or a late byte order mark put in."""
+    k = F.col("doc_id") % 5
+    more = F.when(k == 1, "\x01").when(k == 2, "\u200b").when(k == 3, "\ufeff").otherwise("")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.text_problem(F.concat("text", more), 2000).alias("problem"))
 
 
 @query("SELECT conv_id, turn, nfc_normalize(text) AS text FROM conversations")
@@ -714,6 +799,23 @@ def ivf_recall(spark, d):
     return r.select("n_queries", (F.col("recall") >= 0.9).alias("good"))
 
 
+@query("SELECT unnest([4, 16]) AS nprobe, unnest([true, true]) AS fits")
+def ivf_sweep(spark, d):
+    """Recall by the number of cells read: all cells find everything, some find most."""
+    e = plain(spark, d)
+    r = ivf.sweep(e, e.where(ASKED), 16, [4, 16])
+    return spark.createDataFrame([(n, x == 1.0 if n == 16 else 0.3 < x <= 1.0) for n, x in r], "nprobe int, fits boolean")
+
+
+@query("SELECT page_id, regexp_matches(path, '\\.md$') AND NOT regexp_matches(path, 'keep[^/]*\\.md$') OR regexp_matches(path, '(^|/)build/') OR regexp_matches(path, '^docs/[^/]*\\.txt$') AS ignored FROM (SELECT page_id, (['a/b.md', 'keep1.md', 'x/keep2.md', 'src/build/c.py', 'build', 'docs/n.txt', 'docs/sub/n.txt', 'e.txt'])[page_id % 8 + 1] AS path FROM pages)")
+def ignore_rules(spark, d):
+    """Ignore rules over paths: later rules override, directories, anchored patterns."""
+    paths = ["a/b.md", "keep1.md", "x/keep2.md", "src/build/c.py", "build", "docs/n.txt", "docs/sub/n.txt", "e.txt"]
+    rules = files.Ignore("*.md\n!keep*.md\nbuild/\n/docs/*.txt\n")
+    hit = F.array(*(F.lit(rules.ignores(p, False)) for p in paths))
+    return table(spark, d, "pages").select("page_id", F.get(hit, (F.col("page_id") % 8).cast("int")).alias("ignored"))
+
+
 @query("""SELECT n_rows, dim, 32 + n_rows * dim * 4 AS vector_bytes, n_rows * 16 * 9 AS index_bytes, CAST(floor(n_rows::DOUBLE * 200.0::DOUBLE * 1.2::DOUBLE) AS BIGINT) AS metadata_bytes
 FROM (SELECT unnest([1000::BIGINT, 100000, 1000000]) AS n_rows), (SELECT unnest([384::BIGINT, 768, 1536]) AS dim)""")
 def sizing_table(spark, d):

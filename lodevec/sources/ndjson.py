@@ -54,11 +54,11 @@ def read_ndjson(spark: SparkSession, path: str, dim: int, strict: bool = True) -
 def import_ndjson(collection, path: str, chunk_size: int = 1024, checkpoint_path: str = "", resume: bool = False) -> int:
     """Append a local file in chunks, each one commit; the checkpoint moves after its chunk's commit.
 
-    The driver reads one file, from an offset; a directory, such as an export, is read by the
-    executors and is one commit, in the order of the lines' ids. Returns the rows imported by this
+    The driver reads one file, from an offset; a directory or a path with a scheme, such as an
+    export's, is read by the executors and is one commit, in the order of the lines' ids. Returns the rows imported by this
     call. A bad line ends the import; earlier chunks stay, and of a directory nothing does.
     """
-    if os.path.isdir(path):
+    if "://" in path or os.path.isdir(path):
         lines = collection.spark.read.text(path)
         place = F.from_json("value", "id bigint")["id"]
         return len(collection.put_batch(checked(parse_lines(lines.withColumn("place", place), collection.dim, "place")), "place"))
