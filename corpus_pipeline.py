@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.llm import linededup, mixing, neardup, packing, toxicity
-from lodevec.llm.common import stage
+from lodevec.llm.common import stage, unstage
 
 ORACLE_SQL = None
 
@@ -70,6 +70,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:  # read for the last time
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

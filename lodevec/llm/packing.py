@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import stage
+from lodevec.llm.common import stage, unstage
 
 SIZE, END, PIECES, SPREAD = 2048, 0, 250_000, 16
 
@@ -168,6 +168,8 @@ def pack(pieces: DataFrame, size: int = SIZE, most: int = PIECES, spread: int =
         dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece", F.lit(step)), F.lit(parts)))
         packed = dealt.repartition(min(parts, 20_000), "part").groupBy("part").applyInArrow(_packer(size, last), f"{names}, part long, bin long, offset int, done boolean, certified boolean")
         packed = stage(packed, f"packed-{step}")
+        if not step:
+            unstage(left)
         number = (F.lit(step).cast("bigint") * (1 << 56)) + F.col("part") * (1 << 28) + F.col("bin")
         out.append(packed.where("done").select(*own, number.alias("sequence_id"), F.col("offset").cast("bigint").alias("offset"), "certified", F.lit(step).alias("round")))
         left = packed.where("NOT done").select(*own)
