@@ -61,15 +61,21 @@ def bm25(query: Column, doc: Column, average: Column) -> Column:
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "id", query_key: str = "query_id", text: str = "text") -> DataFrame:
     """Rows (query_id, id, score) of the documents that share a token with a query, by an equi-join on tokens.
 
-    Documents' tokens meet the queries' different words only; frequencies are counted by document
-    and word, before queries that share a word fan out. Keys are taken as unique.
+    Documents' words become rows, which meet the queries' different words only; frequencies are
+    counted by document and word, before queries that share a word fan out. Keys are taken as unique.
     """
-    d = docs.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("__d")).withColumn("__n", F.size("__d"))
-    average = d.agg(F.avg("__n").alias("__a")).select(F.when(F.col("__a") > 0, F.col("__a")).otherwise(1.0).alias("__a"))
-    q = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("__t")).groupBy("query_id", "__t").agg(F.count("*").alias("__m"))
-    found = d.select("id", "__n", F.explode("__d").alias("__t")).join(q.select("__t").distinct(), "__t", "left_semi")
-    found = found.groupBy("id", "__n", "__t").agg(F.count("*").cast("double").alias("__f"))
-    found = found.crossJoin(F.broadcast(average)).withColumn("__s", _saturated(F.col("__f"), F.col("__n"), F.col("__a")))  # one row
+
+    def words(t: DataFrame, key: str, name: str) -> DataFrame:
+        w = t.select(F.col(key).alias(name), F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+")).alias("__t"))
+        return w.where((F.length("__t") > 1) & ~F.col("__t").isin(*STOP_WORDS))
+
+    d = words(docs, key, "id")
+    lengths = d.groupBy("id").agg(F.count("*").alias("__n"))
+    total = lengths.agg(F.sum("__n").alias("__a")).crossJoin(docs.agg(F.count("*").alias("__c")))  # one row
+    average = total.select(F.when(F.col("__a") > 0, F.col("__a") / F.col("__c")).otherwise(1.0).alias("__a"))
+    q = words(queries, query_key, "query_id").groupBy("query_id", "__t").agg(F.count("*").alias("__m"))
+    found = d.join(q.select("__t").distinct(), "__t", "left_semi").groupBy("id", "__t").agg(F.count("*").cast("double").alias("__f"))
+    found = found.join(lengths, "id").crossJoin(F.broadcast(average)).withColumn("__s", _saturated(F.col("__f"), F.col("__n"), F.col("__a")))
     return found.join(q, "__t").groupBy("query_id", "id").agg(F.sum(F.col("__s") * F.col("__m")).alias("score"))
 
 
