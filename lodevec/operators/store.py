@@ -273,7 +273,10 @@ class Collection:
     def put(self, vector: Sequence[float], text: str = "", ts: str = "") -> int:
         self._check(vector)
         self.counters["put"] += 1
-        return self._append(self.spark.createDataFrame([([float(x) for x in vector], text, ts)], "vector array<float>, text string, ts string"))[0]
+        check_quota(self.count_live(), 1, self.max_vectors)
+        new = self.state["next_id"]
+        self._commit(self.spark.createDataFrame([(new, [float(x) for x in vector], text, ts)], SCHEMA), 1)
+        return new
 
     @_counts_failures("put_batch")
     def put_batch(self, rows: DataFrame, order: str | None = None, dead: DataFrame | None = None, mark: tuple[str, int] | None = None) -> range:
