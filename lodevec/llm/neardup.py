@@ -18,11 +18,11 @@ verified links' components are the near-duplicate groups; each document gets its
 and how many other texts it links to.
 
 Scale: texts are shuffled once, for verification; a forest entry is 48 bytes, sent in packed
-blocks. A subtree of more than HOT entries of a batch is linked before the shuffle: to the
-subtree's task go its leaders (every other entry is alike to one of them), and all its entries go
-to the tasks of their own, longer prefixes, down to whole labels, so that a hot prefix is spread
-by the trie itself and entries of different batches still meet. Of more than HOT entries with one
-whole label, leaders go on.
+blocks. All entries of a subtree go to its task, so that whatever shares a prefix meets, in whatever
+batch it lies. A subtree of more than about BLOCK_ENTRIES entries is cut into blocks of so many by a
+hash of the node, and every pair of blocks is linked for itself: a task is bounded and no pair is
+left out. Which subtrees those are is counted over one text in LOOK; that decides only how the
+work is cut, never what is linked. An entry of such a subtree is sent once per block.
 
 Cases: null text counts as empty; all empty or blank texts have no shingle and only equal texts of
 them group; a text of fewer than 3 words is one shingle; a null doc_id may be in any group and is
@@ -42,6 +42,7 @@ from lodevec.llm.common import U64, byte_codes, components, mix, partitions, run
 
 N, THRESHOLD, TARGET, TREES, DEPTH, BITS = 3, 0.5, 0.95, 50, 6, 10
 BLOCK_DOCS, BLOCK_CHARS, HOT = 1000, 8_000_000, 48
+BLOCK_ENTRIES, LOOK, SENT = 50_000, 64, 500_000  # entries a block of a hot subtree, one text in LOOK shows which are hot, entries sent at once
 CELLS = 128  # 2-bit cells of the sketch
 SAMPLE, PRIOR = 64, 1000  # one text in SAMPLE is measured; PRIOR measurements' weight has the depth that theory gives
 PAIR_WORDS = (20, 2000)  # lengths of the texts that measure
@@ -219,26 +220,25 @@ def leaders(e: np.ndarray, least: int) -> np.ndarray:
     return lead
 
 
-def spread(e: np.ndarray, tree: np.ndarray, label: np.ndarray, depth: int, found: Forest, least: int) -> np.ndarray:
-    """The entries of a batch by the prefixes they are sent to, keys set; hot prefixes' own links go to `found`."""
-    out = []
-    for d in range(depth, DEPTH + 1):
-        e = e.copy()
-        prefix = label >> U64(BITS * (DEPTH - d))
-        e["key"] = mix(prefix + mix(tree + U64(64 * d)))
-        order = np.argsort(e["key"], kind="stable")
-        e, tree, label = e[order], tree[order], label[order]
-        start, size = _groups(e["key"])
-        hot = np.repeat(size > HOT, size)
-        out.append(e[~hot])
-        if not hot.any():
-            break
-        e, tree, label = e[hot], tree[hot], label[hot]
-        if d == depth:  # whatever shares a longer prefix is among these
-            link_entries(e, found, least)
-        start, size = _groups(e["key"])
-        out += [e[a : a + n][leaders(e[a : a + n], least)] for a, n in zip(start.tolist(), size.tolist())]
-    return np.concatenate(out)
+def keys(label: np.ndarray, tree: np.ndarray, depth: int) -> np.ndarray:
+    """What the labels of a subtree share: a hash of the tree and of the first `depth` values."""
+    return mix((label >> U64(BITS * (DEPTH - depth))) + mix(tree + U64(64 * depth)))
+
+
+def spread(e: np.ndarray, hot: np.ndarray, blocks: np.ndarray):
+    """The entries of a batch as they are sent, in runs: those of the i-th hot key (sorted) lie in blocks[i] blocks by
+    their nodes, and go to every pair of blocks with their own, which has a key of its own."""
+    at = np.searchsorted(hot, e["key"])
+    at[at == len(hot)] = 0
+    n = np.where(hot[at] == e["key"], blocks[at], 1) if len(hot) else np.ones(len(e), np.int64)
+    for i, j in runs(np.append(0, np.cumsum(n)), SENT):
+        own, of = np.repeat(e[i:j], n[i:j]), np.repeat(n[i:j], n[i:j]).astype(U64)
+        ends = np.cumsum(n[i:j])
+        other = np.arange(len(own)) - np.repeat(ends - n[i:j], n[i:j])
+        mine, other = mix(own["node"].astype(U64)) % of, other.astype(U64)
+        pair = np.minimum(mine, other) * of + np.maximum(mine, other)
+        own["key"] = np.where(of > 1, mix(own["key"] + mix(pair + U64(1))), own["key"])
+        yield own
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, trees: int = TREES, threshold: float = THRESHOLD) -> DataFrame:
@@ -265,42 +265,57 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N
     return one.withColumn("node", F.monotonically_increasing_id())
 
 
-def candidates(one: DataFrame, depth: int, trees: int = TREES, threshold: float = THRESHOLD) -> DataFrame:
+def _rows(b: pa.RecordBatch, trees: int) -> np.ndarray:
+    """Labels and sketches of a batch's texts."""
+    return utf8(b.column("sig"))[0].view("<u8").reshape(b.num_rows, trees + 4)
+
+
+def hot_keys(some: DataFrame, depth: int, trees: int, most: int, look: int) -> list[tuple[int, int]]:
+    """(key, entries) of keys with more than about `most` entries, counted over one text in `look`."""
+
+    def count(batches):
+        for b in batches:
+            k = keys(_rows(b, trees)[:, :trees].ravel(), np.tile(np.arange(trees, dtype=U64), b.num_rows), depth)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64))], ["key"])
+
+    seen = some.where(F.pmod(F.xxhash64("node"), F.lit(look)) == 0).mapInArrow(count, "key long")
+    seen = seen.groupBy("key").agg((F.count("*") * look).alias("n")).where(F.col("n") > most).collect()  # at most entries / most rows
+    return [(r["key"] % (1 << 64), r["n"]) for r in seen]
+
+
+def candidates(one: DataFrame, depth: int, trees: int = TREES, threshold: float = THRESHOLD, most: int = BLOCK_ENTRIES, look: int = LOOK) -> DataFrame:
     """Edges (a, b) between nodes whose components hold all candidate pairs."""
-    spark, least = one.sparkSession, least_alike(threshold)
-    parts = max(partitions(spark), one.count() * trees // 2_000_000)
+    spark, least, n = one.sparkSession, least_alike(threshold), one.count()
+    some = one.where("sig IS NOT NULL").select("node", "sig")
+    hot = sorted(hot_keys(some, depth, trees, most, look)) if n > most else []
+    blocks = np.array([-(-k // most) for _, k in hot], np.int64)
+    sent_entries = n * trees + sum(k * (-(-k // most) - 1) for _, k in hot)
+    hot = np.array([k for k, _ in hot], U64)
+    parts = max(partitions(spark), sent_entries // 2_000_000)
 
     def send(batches):
         for b in batches:
             m = b.num_rows
             if not m:
                 continue
-            raw, _ = utf8(b.column("sig"))
-            rows = raw.view("<u8").reshape(m, trees + 4)
+            rows = _rows(b, trees)
             e = np.empty(m * trees, ENTRY)
             e["node"], e["sketch"] = np.repeat(b.column("node").to_numpy(), trees), np.repeat(rows[:, trees:], trees, axis=0)
-            found = Forest()
-            e = spread(e, np.tile(np.arange(trees, dtype=U64), m), rows[:, :trees].ravel(), depth, found, least)
-            part = (e["key"] % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            e, part = e[order], part[order]
-            cut, size = _groups(part)
-            us, vs = found.edges()
-            edges = np.array([us, vs], "<i8").T.tobytes() if us else b""
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([e[i : i + k].tobytes() for i, k in zip(cut, size)], pa.binary()), pa.array([edges] + [b""] * (len(cut) - 1), pa.binary())], ["part", "entries", "edges"])
+            e["key"] = keys(rows[:, :trees].ravel(), np.tile(np.arange(trees, dtype=U64), m), depth)
+            for out in spread(e, hot, blocks):
+                part = (out["key"] % U64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                out, part = out[order], part[order]
+                cut, size = _groups(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([out[i : i + k].tobytes() for i, k in zip(cut, size)], pa.binary())], ["part", "entries"])
 
     def join(table):
         found = Forest()
-        e = np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()] or [np.zeros(0, ENTRY)])
-        for x in table.column("edges").to_pylist():
-            if x:
-                p = np.frombuffer(x, "<i8").reshape(-1, 2)
-                found.link(p[:, 0], p[:, 1])
-        link_entries(e, found, least)
+        link_entries(np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()]), found, least)
         us, vs = found.edges()
         return pa.table({"a": pa.array(us, pa.int64()), "b": pa.array(vs, pa.int64())})
 
-    sent = one.where("sig IS NOT NULL").select("node", "sig").mapInArrow(send, "part int, entries binary, edges binary")
+    sent = some.mapInArrow(send, "part int, entries binary")
     return sent.repartition(min(parts, partitions(spark) * 4), "part").groupBy("part").applyInArrow(join, "a long, b long")
 
 

@@ -126,3 +126,69 @@ def test_of_equal_rows_that_differ_elsewhere_one_stays_whole(spark):
     for k in (1, 4):
         got = [tuple(r) for r in neardup.drop_near_dups(d.repartition(k)).collect()]
         assert sorted(got) == [(1, "a b c d", "de", "x"), (2, "", None, "z")]
+
+
+def hub_and_outsider(n):
+    """Sketches as cells: 0 is like all up to n - 1, which are unlike one another; the last, n, is like 1 only."""
+    rng = np.random.default_rng(4)
+    cells = rng.integers(0, 4, (n + 1, neardup.CELLS))
+    cells[1:n, :60] = cells[0, :60]
+    cells[n, 60:], cells[n, :60] = cells[1, 60:], (cells[0, :60] + 1) % 4
+    return packed(cells)
+
+
+def packed(cells):
+    return (cells.reshape(len(cells), 4, 32).astype(np.uint64) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64)
+
+
+def blobs(labels, sketches):
+    return [r.astype("<u8").tobytes() for r in np.hstack([labels, sketches])]
+
+
+def small_batches(spark, rows):
+    """One partition, read in batches of so many rows while the generator is open."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.fixture
+def batches_of_60(spark):
+    yield from small_batches(spark, 60)
+
+
+def roots(edges, n):
+    f = neardup.Forest()
+    got = edges.toPandas()
+    f.link(got.a.to_numpy(), got.b.to_numpy())
+    return groups(f, n)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most": 10, "look": 1}])
+def test_an_entry_like_one_that_does_not_lead_its_batch_is_linked(spark, batches_of_60, bounds):
+    """60 texts of one batch share all labels with one of the next batch, which is like a single one of them."""
+    s = hub_and_outsider(60)
+    like = neardup.alike(s[:, None, :], s[None, :, :]) >= neardup.least_alike()
+    assert like[0, :60].all() and np.flatnonzero(like[60]).tolist() == [1, 60]
+    rows = list(enumerate(blobs(np.full((61, 2), 5, np.uint64), s)))
+    one = spark.createDataFrame(rows, "node bigint, sig binary").coalesce(1)
+    assert roots(neardup.candidates(one, 4, 2, **bounds), 61) == [0] * 61
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most": 10, "look": 1}, {"most": 100, "look": 2}])
+def test_candidates_are_linked_like_all_pairs_that_share_a_prefix(spark, batches_of_60, bounds):
+    """Loosely like texts, most on one label of a tree, in batches and blocks: components are those of all pairs."""
+    rng = np.random.default_rng(6)
+    cells = rng.integers(0, 4, (40, neardup.CELLS))[rng.integers(0, 40, 500)]
+    change = rng.random(cells.shape) < 0.45
+    cells[change] = rng.integers(0, 4, change.sum())
+    s, labels = packed(cells), (rng.random((500, 3)) < 0.1).astype(np.uint64) << np.uint64(neardup.BITS * 2)
+    share = (labels[:, None, :] == labels[None, :, :]).any(axis=2)
+    u, v = np.nonzero(share & (neardup.alike(s[:, None, :], s[None, :, :]) >= neardup.least_alike()))
+    want = neardup.Forest()
+    want.link(u, v)
+    assert 10 < len(set(groups(want, 500))) < 490
+    one = spark.createDataFrame(list(enumerate(blobs(labels, s))), "node bigint, sig binary").coalesce(1)
+    assert roots(neardup.candidates(one, 4, 3, **bounds), 500) == groups(want, 500)
