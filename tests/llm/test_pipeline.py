@@ -6,9 +6,11 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodevec.llm import toxicity
+from lodevec.llm import neardup, toxicity
+from tests.llm.test_forest import batches_of_60, blobs, exact, hub_and_outsider  # noqa: F401
 from tests.llm.test_small_operators import lines_by_force, pairs_by_force
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +66,27 @@ def test_near_copies(stages):
     assert sorted(stages[3].doc_id) == sorted(want.values())
 
 
+def test_a_copy_of_one_that_does_not_lead_its_batch_goes(spark, batches_of_60, monkeypatch):  # noqa: F811
+    """60 copies of a page in one batch and one of the next, which is near one of them only; labels and sketches as unlucky as can be."""
+    page = [f"w{i}" for i in range(42)]
+    near = [f"a{i}" for i in range(6)] + page[6:]
+    texts = [page, near, *(page[:20] + [f"x{i}"] + page[21:] for i in range(58)), near[:32] + [f"b{i}" for i in range(10)]]
+    texts = [" ".join(t) for t in texts]
+    link = exact(texts)
+    assert link[0, 1:60].all() and np.flatnonzero(link[60]).tolist() == [1]
+    sig = spark.createDataFrame(list(enumerate(blobs(np.full((61, neardup.TREES), 5, np.uint64), hub_and_outsider(60)))), "doc_id bigint, sig binary")
+    classes = neardup.classes
+
+    def crafted(*args):
+        d = classes(*args)
+        d = d.drop("sig", "node").join(sig, "doc_id").orderBy("doc_id").coalesce(1)
+        return d.withColumn("node", F.monotonically_increasing_id())
+
+    monkeypatch.setattr(neardup, "classes", crafted)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()] == [(0, texts[0], "en", "s", len(texts[0]))]
+
+
 def test_mix(stages):
     import re
 
