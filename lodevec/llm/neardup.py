@@ -13,16 +13,24 @@ passes with probability 1 - 1e-6 and unlike texts with 4e-6. Within a subtree th
 all pairs that pass are found exactly (`link_entries`), whatever its size. What is linked there is
 only joined into candidate groups, never listed as pairs. Within a candidate group every pair of
 different texts is verified exactly by its shingle sets; groups too large for a task are cut into
-blocks and every pair of blocks is a task, as the number of links of each text is wanted. The
-verified links' components are the near-duplicate groups; each document gets its group, its class
-and how many other texts it links to.
+blocks and every pair of blocks is a task, as the number of links of each text is wanted.
 
-Scale: texts are shuffled once, for verification; a forest entry is 48 bytes, sent in packed
+What the forest misses is found exactly (`across`): shingles are put in one order, those frequent
+in a sample last, and two texts at the threshold share shingles within the prefixes of their sets.
+Texts of different candidate groups that meet there often enough for the threshold are verified,
+too, so that no link is lost. The verified links' components are the near-duplicate groups; each
+document gets its group, its class and how many other texts it links to.
+
+Scale: all texts are shuffled once, to one row a class, and those of candidate groups again, for
+verification; a forest entry is 48 bytes, sent in packed
 blocks. All entries of a subtree go to its task, so that whatever shares a prefix meets, in whatever
 batch it lies. A subtree of more than about BLOCK_ENTRIES entries is cut into blocks of so many by a
 hash of the node, and every pair of blocks is linked for itself: a task is bounded and no pair is
 left out. Which subtrees those are is counted over one text in LOOK; that decides only how the
-work is cut, never what is linked. An entry of such a subtree is sent once per block.
+work is cut, never what is linked. An entry of such a subtree is sent once per block. A prefix
+entry is 4 bytes and its share of 24 a text and task; shingles of more than about BLOCK_ENTRIES
+entries are cut into blocks likewise. Work there is quadratic in the texts of different groups that
+share a shingle of their prefixes.
 
 Cases: null text counts as empty; all empty or blank texts have no shingle and only equal texts of
 them group; a text of fewer than 3 words is one shingle; a null doc_id may be in any group and is
@@ -46,6 +54,8 @@ BLOCK_ENTRIES, LOOK, SENT = 50_000, 64, 500_000  # entries a block of a hot subt
 CELLS = 128  # 2-bit cells of the sketch
 SAMPLE, PRIOR = 64, 1000  # one text in SAMPLE is measured; PRIOR measurements' weight has the depth that theory gives
 PAIR_WORDS = (20, 2000)  # lengths of the texts that measure
+ORDERED, FREQUENT = 65_536, 1_000_000  # about so many texts at least show which shingles are frequent; at most so many of these are told apart
+PAIRS = 500_000  # pairs counted at once
 
 
 def least_alike(threshold: float = THRESHOLD) -> int:
@@ -404,6 +414,174 @@ def verify(members: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     return m.groupBy("g", "i", "j").applyInArrow(task, "node long, to long, links long"), cut
 
 
+def needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """How many shingles of both prefixes two sets of these sizes share at least, if they are at the threshold.
+
+    Of the shared ones, all that lie before the end of the prefix that ends first are in both
+    prefixes; behind it that set has at most ceil(threshold * its size) - 1.
+    """
+    shared = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+    return (shared - np.ceil(threshold * np.maximum(a, b) - 1e-9) + 1).astype(np.int64)
+
+
+def prefixes(sets: list[np.ndarray], often: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which set, shingle) of each set's first size - ceil(threshold * size) + 1 shingles: those of `often` (sorted) come last, by count."""
+    size = np.array([len(x) for x in sets], np.int64)
+    h, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    if len(often):
+        at = np.searchsorted(often, h)
+        at[at == len(often)] = 0
+        order = np.lexsort((np.where(often[at] == h, count[at], 0), of))  # stable: shingles of a set are sorted
+        h = h[order]
+    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    keep = place <= (size - np.ceil(threshold * size - 1e-9))[of]
+    return of[keep], h[keep]
+
+
+def _small(batches, n: int, codes: np.ndarray):
+    """Batches in runs of bounded texts, with their shingle sets."""
+    pa.default_memory_pool().release_unused()  # of tasks before in this worker
+    for b in batches:
+        for i, j in runs(utf8(b.column("text"))[1], 1 << 18):
+            part = b.slice(i, j - i)
+            yield part, _sets(pa.chunked_array([part.column("text")]), n, codes)
+    pa.default_memory_pool().release_unused()
+
+
+def frequent(members: DataFrame, n: int, look: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that are in more than one text of 1 in `look`, and in how many; at most `most`, the most frequent."""
+
+    def run(batches):
+        for _, sets in _small(batches, n, byte_codes(True)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    some = members.where(F.pmod(F.xxhash64("node"), F.lit(look)) == 0).select("text").mapInArrow(run, "h long")
+    some = stage(some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "frequent")
+    least, total = 1 << 62, 0
+    for r in sorted(some.groupBy("n").agg(F.count("*").alias("m")).collect(), reverse=True):  # a row per number of texts
+        total += r["m"]
+        if total > most:
+            break
+        least = r["n"]
+    got = some.where(F.col("n") >= least).toArrow()
+    unstage(some)
+    h, count = got.column("h").to_numpy().view(U64), got.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], count[order]
+
+
+PREFIX = np.dtype([("key", "<u8"), ("node", "<i8"), ("root", "<i8"), ("size", "<u4")])
+
+
+def _packed(e: np.ndarray) -> bytes:
+    """Entries of one task, those of a node side by side, in 4 bytes each (what the key has beyond the task) and 24 a node."""
+    start, n = _groups(e["node"])
+    first = e[start]
+    parts = (np.array([len(first)], "<u4"), first["node"], first["root"] ^ first["node"], first["size"], n.astype("<u4"), (e["key"] >> U64(32)).astype("<u4"))
+    return b"".join(x.tobytes() for x in parts)
+
+
+def _unpacked(batches):
+    """node, root and size of the texts of a task's blobs, and which text has each entry and its key."""
+    heads, ns, keys = [], [], []
+    for b in batches:
+        for blob in b.column("entries"):
+            raw = blob.as_buffer()
+            m = int(np.frombuffer(raw, "<u4", 1)[0])
+            heads.append((*np.frombuffer(raw, "<i8", 2 * m, 4).reshape(2, m).copy(), np.frombuffer(raw, "<u4", m, 4 + 16 * m).copy()))
+            ns.append(np.frombuffer(raw, "<u4", m, 4 + 20 * m).copy())
+            keys.append(np.frombuffer(raw, "<u4", -1, 4 + 24 * m).copy())
+    if not heads:
+        return None
+    node, other, size = (np.concatenate(c) for c in zip(*heads))
+    return node, node ^ other, size.astype(np.int64), np.repeat(np.arange(len(node), dtype=np.uint32), np.concatenate(ns)), np.concatenate(keys)
+
+
+def meetings(batches, threshold: float):
+    """Record batches (a, b, n, need) of a task: nodes of different roots and of sizes within the threshold that share
+    keys here, how many (a pair may come more than once), and `needed`."""
+    got = _unpacked(batches)
+    if got is None:
+        return
+    node, root, size, of, key = got
+    del got
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    again = key[1:] == key[:-1]
+    again = np.append(again, False) | np.append(False, again)
+    key, of = key[again], of[order[again]].astype(np.int64)
+    del order, again
+    order = np.lexsort((root[of], key))
+    key, of = key[order], of[order]
+    del order
+    start, n = _groups(key)
+    end = np.repeat(start + n, n)
+    own = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (root[of[1:]] != root[of[:-1]]))) if len(key) else start
+    n = np.diff(np.append(own, len(key)))
+    to = np.repeat(own + n, n)  # the first of the next root
+    at = np.flatnonzero(to < end)
+    to, kept, held = to[at], [], 0
+
+    def out():
+        pair, times = np.unique(np.concatenate(kept), return_counts=True)
+        a, b = pair // len(node), pair % len(node)
+        x, y = node[a], node[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(times), pa.array(needed(size[a], size[b], threshold))], ["a", "b", "n", "need"])
+
+    while len(at):
+        a, b = of[at], of[to]
+        fit = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+        a, b = a[fit], b[fit]
+        kept.append(np.minimum(a, b) * len(node) + np.maximum(a, b))
+        held += len(a)
+        if held > PAIRS:
+            yield out()
+            kept, held = [], 0
+        to = to + 1
+        more = to < end[at]
+        at, to = at[more], to[more]
+    if held:
+        yield out()
+
+
+def across(members: DataFrame, n: int = N, threshold: float = THRESHOLD, most: int = BLOCK_ENTRIES, look: int | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots, of members (root, node, text), among which are all at the threshold."""
+    spark = members.sparkSession
+    t = members.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    look = look or max(1, min(16, t["n"] // 1000), t["n"] // ORDERED)
+    often, count = frequent(members, n, look)
+    hot, blocks = often[count * look > most], -(-(count * look)[count * look > most] // most)
+    parts = max(partitions(spark), (t["chars"] or 0) // 16_000_000)
+
+    def entries(batches):
+        held, n_held = [], 0
+        for b, sets in _small(batches, n, byte_codes(True)):
+            of, h = prefixes(sets, often, count, threshold)
+            e = np.empty(len(h), PREFIX)
+            e["key"], e["size"] = h, np.array([len(x) for x in sets], np.uint32)[of]
+            e["node"], e["root"] = b.column("node").to_numpy()[of], b.column("root").to_numpy()[of]
+            held.append(e)
+            n_held += len(e)
+            if n_held > SENT // 2:
+                yield np.concatenate(held)
+                held, n_held = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def send(batches):
+        for e in entries(batches):
+            for x in spread(e, hot, blocks):
+                part = (x["key"] % U64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                x, part = x[order], part[order]
+                cut, size = _groups(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array([_packed(x[i : i + k]) for i, k in zip(cut, size)], pa.binary())], ["part", "entries"])
+
+    sent = members.select("root", "node", "text").mapInArrow(send, "part int, entries binary").repartitionById(parts, "part")
+    pairs = sent.select("entries").mapInArrow(lambda batches: meetings(batches, threshold), "a long, b long, n long, need long")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+
+
 def near_dups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES) -> DataFrame:
     """One row per row of docs: doc_id, a, b (text id), group (number of its near-duplicate group), class_id (least
     doc_id of the group), text_id (least doc_id of equal texts), copies (rows of this text), n_links (other texts
@@ -413,13 +591,21 @@ def near_dups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int =
     depth = matched_depth(met, threshold, target, trees)
     groups = stage(components(candidates(one, depth, trees, threshold), "candidates"), "groups")
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("id", text_id(F.col("text"))).select("doc_id", "id.a", "id.b", "text")
-    reps = one.join(groups, "node").select("node", "root", "a", "b", F.col("doc_id").alias("rep"))
-    members = d.join(reps, ["a", "b"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("root", "node").agg(F.first("text").alias("text"))
-    members = stage(members, "members")
-    seen, cut = verify(members, n, threshold)
+    reps = one.where("sig IS NOT NULL").join(groups.withColumnRenamed("root", "group"), "node", "left")
+    reps = reps.select("node", F.coalesce("group", "node").alias("root"), F.col("group").isNotNull().alias("met"), "a", "b", F.col("doc_id").alias("rep"))
+    members = d.join(reps, ["a", "b"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("root", "node", "met", "text")))
+    members = stage(members.drop("a", "b"), "members")
+    unstage(groups)
+    seen, cut = verify(members.where("met").drop("met"), n, threshold)
     seen = stage(seen, "links")
+    pairs = stage(across(members, n, threshold).withColumn("root", F.monotonically_increasing_id()), "across")
+    two = pairs.select("root", F.explode(F.array("a", "b")).alias("node")).join(members.select("node", "text"), "node")
+    more, _ = verify(two, n, threshold)  # a group of two for each pair
+    more = stage(more.where("links > 0"), "more")
+    unstage(pairs)
     unstage(members)
-    unstage(groups)
+    cut = cut or not more.isEmpty()
+    seen = seen.unionByName(more)
     links = seen.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("to").alias("root"))
     if cut:
         whole = components(seen.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")), "linked")

@@ -192,3 +192,40 @@ def test_candidates_are_linked_like_all_pairs_that_share_a_prefix(spark, batches
     assert 10 < len(set(groups(want, 500))) < 490
     one = spark.createDataFrame(list(enumerate(blobs(labels, s))), "node bigint, sig binary").coalesce(1)
     assert roots(neardup.candidates(one, 4, 3, **bounds), 500) == groups(want, 500)
+
+
+def at_the_threshold(n=300):
+    loose = [[f"v{random.Random(k).randrange(9000)}{k % 7}.{i}" for i in range(120)] for k in range(n)]
+    return [" ".join(w) for w in loose], [" ".join(neardup.partner(w, 3, 0.5, i)) for i, w in enumerate(loose)]
+
+
+@pytest.mark.parametrize("forest", ["as it is", "meets nothing"])
+def test_no_link_is_lost_that_the_forest_misses(spark, forest, monkeypatch):
+    """Pairs at the threshold, pages of a template, and texts of stock sentences, of few words or of none: links are those of brute force."""
+    if forest == "meets nothing":
+        monkeypatch.setattr(neardup, "candidates", lambda one, *_: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(2)
+    stock = [" ".join(f"s{k}.{i}" for i in range(9)) for k in range(12)]
+    texts = [*templated(300), *(" ".join(rng.sample(stock, 6)) for _ in range(200)), "a", "a b", "A  b", "b a", "a b c", "a b c d", " ", ""]
+    texts = list(dict.fromkeys([x for pair in zip(*at_the_threshold()) for x in pair] + texts))
+    link = exact(texts)
+    link[[not t.strip() for t in texts]] = False
+    link[:, [not t.strip() for t in texts]] = False
+    got = {r["doc_id"]: r for r in neardup.near_dups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()}
+    assert [got[i]["n_links"] for i in range(len(texts))] == link.sum(axis=1).tolist()
+    f = neardup.Forest()
+    f.link(*np.nonzero(link))
+    assert [got[i]["class_id"] for i in range(len(texts))] == groups(f, len(texts))
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most": 5, "look": 1}, {"look": 3}])
+def test_pairs_across_groups_hold_all_at_the_threshold(spark, bounds, monkeypatch):
+    """Hot shingles cut into blocks, orders from samples, pairs counted few at a time."""
+    monkeypatch.setattr(neardup, "PAIRS", 100)
+    texts = templated(120) + [x for t in at_the_threshold(40) for x in t]
+    u, v = np.nonzero(np.triu(exact(texts)))
+    root = [i % 50 for i in range(len(texts))]
+    d = spark.createDataFrame([(r, i, t) for i, (r, t) in enumerate(zip(root, texts))], "root bigint, node bigint, text string").repartition(3)
+    got = [(r["a"], r["b"]) for r in neardup.across(d, **bounds).collect()]
+    assert len(got) == len(set(got)) and all(root[a] != root[b] for a, b in got)
+    assert {(a, b) for a, b in zip(u.tolist(), v.tolist()) if root[a] != root[b]} <= {(min(p), max(p)) for p in got}

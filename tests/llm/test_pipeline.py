@@ -87,6 +87,19 @@ def test_a_copy_of_one_that_does_not_lead_its_batch_goes(spark, batches_of_60, m
     assert [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()] == [(0, texts[0], "en", "s", len(texts[0]))]
 
 
+def test_a_copy_that_meets_its_like_in_no_subtree_goes(spark, monkeypatch):
+    """Two pages much alike, with labels that share no prefix in any tree, and one unlike both."""
+    page = [f"w{i}" for i in range(60)]
+    texts = [" ".join(t) for t in (page, [*page[:30], "x", *page[31:]], [f"y{i}" for i in range(60)])]
+    assert exact(texts).sum() == 2
+    apart = np.arange(3, dtype=np.uint64)[:, None] << np.uint64(neardup.BITS * (neardup.DEPTH - 1))
+    sig = spark.createDataFrame(list(enumerate(blobs(np.repeat(apart, neardup.TREES, axis=1), np.zeros((3, 4), np.uint64)))), "doc_id bigint, sig binary")
+    classes = neardup.classes
+    monkeypatch.setattr(neardup, "classes", lambda *args: classes(*args).drop("sig").join(sig, "doc_id"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [0, 2]
+
+
 def test_mix(stages):
     import re
 
