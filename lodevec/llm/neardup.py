@@ -17,12 +17,15 @@ blocks and every pair of blocks is a task, as the number of links of each text i
 
 What the forest misses is found exactly (`across`): shingles are put in one order, those frequent
 in a sample last, and two texts at the threshold share shingles within the prefixes of their sets.
-Texts of different candidate groups that meet there often enough for the threshold are verified,
-too, so that no link is lost. The verified links' components are the near-duplicate groups; each
+Of texts of different candidate groups that meet there often enough for the threshold, bitmaps of
+their shingles bound what they share (`possible`); the pairs that may still be at the threshold are
+verified, too, so that no link is lost. The verified links' components are the near-duplicate groups; each
 document gets its group, its class and how many other texts it links to.
 
 Scale: all texts are shuffled once, to one row a class, and those of candidate groups again, for
-verification; a forest entry is 48 bytes, sent in packed
+verification; of pairs across groups, bitmaps of 1 to 2 bytes a shingle are shuffled, and the texts
+of those pairs only that the bitmaps let pass. Which texts that takes is told to the tasks by bits
+of their nodes, 4 KB for up to 32,768 texts. A forest entry is 48 bytes, sent in packed
 blocks. All entries of a subtree go to its task, so that whatever shares a prefix meets, in whatever
 batch it lies. A subtree of more than about BLOCK_ENTRIES entries is cut into blocks of so many by a
 hash of the node, and every pair of blocks is linked for itself: a task is bounded and no pair is
@@ -582,6 +585,62 @@ def across(members: DataFrame, n: int = N, threshold: float = THRESHOLD, most: i
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
 
 
+def outline(s: np.ndarray) -> bytes:
+    """A bitmap of a set of hashes: bits of their remainders by the least power of two that is at least 8 bits a hash."""
+    bits = np.zeros(max(64, 1 << (8 * len(s) - 1).bit_length()), bool)
+    bits[(s & U64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(size_a: int, a: bytes, size_b: int, b: bytes) -> int:
+    """At most so many hashes are in both of two sets of these sizes and outlines: a bit that only one has set takes one off it."""
+    x, y = (int.from_bytes(o, "little") for o in (a, b))
+    wide = 8 * max(len(a), len(b))
+    while wide > 8 * min(len(a), len(b)):  # halves of the wider one are laid upon each other
+        wide //= 2
+        x, y = ((o | o >> wide) & ((1 << wide) - 1) for o in (x, y))
+    return min(size_a - (x & ~y).bit_count(), size_b - (y & ~x).bit_count())
+
+
+def among(nodes: DataFrame):
+    """A filter of record batches that keeps the rows whose node is one of `nodes` (node); the driver gets 4 KB for each
+    run of 32,768 numbers in which there is one, and no table is shuffled for it."""
+    got = nodes.groupBy(F.shiftright("node", 15).alias("run")).agg(F.bitmap_construct_agg(F.col("node").bitwiseAND(F.lit(32767))).alias("bits")).toArrow().sort_by("run")
+    run, bits = got.column("run").to_numpy(), utf8(got.column("bits"))[0].reshape(-1, 4096)
+
+    def held(batches):
+        for b in batches:
+            node = b.column("node").to_numpy()
+            at = np.searchsorted(run, node >> 15)
+            at[at == len(run)] = 0
+            inside = np.zeros(len(node), bool)
+            if len(run):
+                inside = (run[at] == node >> 15) & ((bits[at, (node & 32767) >> 3] >> (node & 7).astype(np.uint8)) & 1 == 1)
+            if inside.any():
+                yield b.filter(pa.array(inside))
+
+    return held
+
+
+def possible(pairs: DataFrame, members: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of pairs (a, b) of nodes of members (node, text) whose outlines allow the threshold: all that are at it, and few others."""
+    held = among(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+
+    def outlines(batches):
+        for b, sets in _small(held(batches), n, byte_codes(True)):
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([outline(s) for s in sets], pa.binary())], ["node", "size", "bits"])
+
+    def allowed(batches):
+        for b in batches:
+            size_a, a, size_b, o = (b.column(c).to_pylist() for c in ("size_a", "bits_a", "size_b", "bits_b"))
+            least = np.ceil(threshold / (1 + threshold) * (np.array(size_a) + np.array(size_b)) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(np.array([most_shared(*x) for x in zip(size_a, a, size_b, o)], np.int64) >= least))
+
+    own = members.select("node", "text").mapInArrow(outlines, "node long, size int, bits binary")
+    both = pairs.join(own.toDF("a", "size_a", "bits_a"), "a").join(own.toDF("b", "size_b", "bits_b"), "b")
+    return both.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(allowed, "a long, b long")
+
+
 def near_dups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES) -> DataFrame:
     """One row per row of docs: doc_id, a, b (text id), group (number of its near-duplicate group), class_id (least
     doc_id of the group), text_id (least doc_id of equal texts), copies (rows of this text), n_links (other texts
@@ -592,18 +651,22 @@ def near_dups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int =
     groups = stage(components(candidates(one, depth, trees, threshold), "candidates"), "groups")
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("id", text_id(F.col("text"))).select("doc_id", "id.a", "id.b", "text")
     reps = one.where("sig IS NOT NULL").join(groups.withColumnRenamed("root", "group"), "node", "left")
-    reps = reps.select("node", F.coalesce("group", "node").alias("root"), F.col("group").isNotNull().alias("met"), "a", "b", F.col("doc_id").alias("rep"))
-    members = d.join(reps, ["a", "b"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("root", "node", "met", "text")))
-    members = stage(members.drop("a", "b"), "members")
+    reps = reps.select("node", F.coalesce("group", "node").alias("root"), F.col("group").isNotNull().alias("met"), "a", "b")
+    members = stage(d.groupBy("a", "b").agg(F.first("text").alias("text")).join(reps, ["a", "b"]).drop("a", "b"), "members")
     unstage(groups)
     seen, cut = verify(members.where("met").drop("met"), n, threshold)
     seen = stage(seen, "links")
-    pairs = stage(across(members, n, threshold).withColumn("root", F.monotonically_increasing_id()), "across")
-    two = pairs.select("root", F.explode(F.array("a", "b")).alias("node")).join(members.select("node", "text"), "node")
-    more, _ = verify(two, n, threshold)  # a group of two for each pair
+    shared = stage(across(members, n, threshold), "across")
+    pairs = stage(possible(shared, members, n, threshold).withColumn("root", F.monotonically_increasing_id()), "possible")
+    unstage(shared)
+    two = pairs.select("root", F.explode(F.array("a", "b")).alias("node"))
+    texts = members.select("node", "text")
+    texts = stage(texts.mapInArrow(among(two), texts.schema), "texts")
+    unstage(members)
+    more, _ = verify(two.join(texts, "node"), n, threshold)  # a group of two for each pair
     more = stage(more.where("links > 0"), "more")
     unstage(pairs)
-    unstage(members)
+    unstage(texts)
     cut = cut or not more.isEmpty()
     seen = seen.unionByName(more)
     links = seen.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("to").alias("root"))

@@ -229,3 +229,60 @@ def test_pairs_across_groups_hold_all_at_the_threshold(spark, bounds, monkeypatc
     got = [(r["a"], r["b"]) for r in neardup.across(d, **bounds).collect()]
     assert len(got) == len(set(got)) and all(root[a] != root[b] for a, b in got)
     assert {(a, b) for a, b in zip(u.tolist(), v.tolist()) if root[a] != root[b]} <= {(min(p), max(p)) for p in got}
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (5, 9), (300, 310), (300, 599), (40, 700)])
+def test_outlines_bound_what_two_sets_share(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    for both in range(0, min(sizes) + 1, max(1, min(sizes) // 10)):
+        h = np.unique(rng.integers(0, 1 << 64, 2 * sum(sizes), dtype=np.uint64))
+        rng.shuffle(h)
+        a, b = h[: sizes[0]], np.append(h[:both], h[sizes[0] : sizes[0] + sizes[1] - both])
+        most = neardup.most_shared(len(a), neardup.outline(a), len(b), neardup.outline(b))
+        assert most == neardup.most_shared(len(b), neardup.outline(b), len(a), neardup.outline(a))
+        assert both <= most
+        assert most <= both + 0.25 * (min(sizes) - both) + 3 or max(sizes) > 2 * min(sizes)  # sizes that the threshold allows
+
+
+def test_rows_among_nodes_are_found_by_bits(spark):
+    some = [0, 7, 32767, 32768, 5 << 33, (5 << 33) + 40_000]
+    d = spark.createDataFrame([(x + y,) for x in some for y in (0, 1)], "node long")
+    for nodes in (some, []):
+        held = neardup.among(spark.createDataFrame([(x,) for x in nodes], "node long"))
+        got = sorted(r["node"] for r in d.distinct().mapInArrow(held, "node long").collect())
+        assert got == sorted(nodes)
+
+
+def shuffled(spark, work):
+    """Bytes that the stages of some work write to be shuffled, and its result."""
+    sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    sc.setJobGroup("shuffled", "")
+    before = set(sc.statusTracker().getJobIdsForGroup("shuffled"))
+    got = work()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in set(sc.statusTracker().getJobIdsForGroup("shuffled")) - before for s in sc.statusTracker().getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages), got
+
+
+def test_texts_are_shuffled_once_and_unlike_pairs_are_not_verified(spark, monkeypatch, tmp_path):
+    """Long texts with stock passages: many meet in their prefixes, few are at the threshold, none by the forest."""
+    monkeypatch.setattr(neardup, "candidates", lambda one, *_: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(5)
+    stock = [[f"s{k}.{i}" for i in range(500)] for k in range(6)]
+    own = [stock[k % 6] + [f"{rng.randrange(1 << 40):x}" for _ in range(600)] for k in range(240)]
+    texts = [" ".join(w) for w in own] + [" ".join(neardup.partner(own[0], 3, 0.5, 1))]
+    link, verified, verify = exact(texts), [], neardup.verify
+    monkeypatch.setattr(neardup, "verify", lambda m, *how: verified.append(m) or verify(m, *how))
+    path = f"file://{tmp_path}/in"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).write.parquet(path)
+    size, keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(neardup, "unstage", keep.append)
+    try:
+        moved, got = shuffled(spark, lambda: {r["doc_id"]: r["n_links"] for r in neardup.near_dups(spark.read.parquet(path)).collect()})
+        pairs = verified[1].count() // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert [got[i] for i in range(len(texts))] == link.sum(axis=1).tolist() and link.any()
+    assert moved < 2 * sum(map(len, texts)) and pairs <= link.sum()
