@@ -10,8 +10,9 @@ The model is fitted on a bounded sample of labelled rows outside the held-out fo
 TRAIN_DOCS of each label (least hash of the id), TRAIN_CHARS characters of each (a text that doesn't
 fit is passed over for the next; where none fits, the shortest is taken), reweighted to the labels'
 shares; features are the at most FEATURES most associated ones of those with
-association above MIN_Z. The bounds make one task enough for training and the model small enough
-to go with the scoring function. Scoring takes every row and the whole of each text.
+association above MIN_Z. The bounds make one task enough for training (it holds words and features
+as numbers in flat arrays) and the model small enough to go with the scoring function. Scoring
+takes every row and the whole of each text.
 
 Cases: null or empty texts have no sentence and score 0; without labels of both kinds every score
 is 0; a null doc_id hashes as ''; repeated rows are scored alike; other columns pass through,
@@ -21,14 +22,16 @@ those named like a result are replaced.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from itertools import chain
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodevec.llm.common import runs
+
 TRAIN_DOCS, TRAIN_CHARS, FEATURES, MIN_Z, STEPS, RIDGE = 4000, 20_000_000, 3000, 3.5, 250, 5e-5
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
 SOME = re.compile(r"\w[^.!?\n]*")  # one match a sentence with a word
@@ -77,51 +80,79 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", k
     return got.groupBy("k", "label", "n").agg(F.first("text").alias("text")).select("text", "label", "n")
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> tuple[float, dict[str, float]]:
-    """(bias, weight of each feature)."""
-    number: dict[str, int] = {}  # words by number, so that a bag is a small array
-    bags = [[np.array(sorted({number.setdefault(w, len(number)) for w in WORD.findall(s)}), np.int32) for s in SENTENCE.findall(t)] for t in texts]
-    words = list(number)
+def _known(words: Iterable[str], number: dict[str, int], new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of each word's features that have one, and n + 1 offsets into them; words marked in new number theirs first."""
+    of, ends = array("i"), array("q", [0])
+    for i, w in enumerate(words):
+        if new is None:
+            of.extend([number[f] for f in features(w) if f in number])
+        elif new[i]:
+            of.extend([number.setdefault(f, len(number)) for f in features(w)])
+        ends.append(len(of))
+    return np.array(of, np.int32), np.array(ends, np.int64)
+
 
-    named = [features(w) for w in words]
+def _of_words(ids: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some words one after the other, and how many each has."""
+    of, ends = known
+    n = ends[ids + 1] - ends[ids]
+    return of[np.repeat(ends[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
-    def in_doc(bag) -> set[str]:
-        own = np.unique(np.concatenate(bag)).tolist() if bag else []
-        return set(chain.from_iterable(named[i] for i in own))
 
+def fit(texts: Iterable[str], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> tuple[float, dict[str, float]]:
+    """(bias, weight of each feature). Texts are read once; their words are kept as numbers in flat arrays."""
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return -30.0, {}
-    pos: Counter = Counter()
-    for bag, y in zip(bags, labels):
-        if y == 1:
-            pos.update(in_doc(bag))
-    cand = {f for f, c in pos.items() if c >= 3}
-    neg: Counter = Counter()
-    for bag, y in zip(bags, labels):
-        if y == 0:
-            neg.update(cand & in_doc(bag))
-    z = {}
-    for f in cand:
-        p, q = (pos[f] + 0.5) / (n1 + 1), (neg[f] + 0.5) / (n0 + 1)
-        m = (pos[f] + neg[f] + 1) / (n1 + n0 + 2)
-        z[f] = (p - q) / np.sqrt(m * (1 - m) * (1 / n1 + 1 / n0) + 1e-12)
+    number: dict[str, int] = {}
+    flat, sizes, bags = array("i"), array("i"), array("i")  # distinct words of each sentence, their number, sentences of each text
+    for t in texts:
+        before = len(sizes)
+        for m in SENTENCE.finditer(t):
+            own = sorted({number.setdefault(w, len(number)) for w in WORD.findall(m.group())})
+            flat.extend(own)
+            sizes.append(len(own))
+        bags.append(len(sizes) - before)
+    flat, bags = np.array(flat, np.int32), np.array(bags, np.int64)
+    ends, k = np.append(0, np.cumsum(np.array(sizes, np.int64))), len(sizes)
+    edges = ends[np.append(0, np.cumsum(bags))]  # of each text's words
+
+    def texts_with(y: int, most: int) -> np.ndarray:
+        """How many texts of label y have each feature of a number below `most`."""
+        out = np.zeros(most, np.int64)
+        for d in np.flatnonzero(labels == y).tolist():
+            out[np.unique(_of_words(np.unique(flat[edges[d] : edges[d + 1]]), known)[0])] += 1
+        return out
+
+    positive, at = np.zeros(len(number), bool), {}
+    for d in np.flatnonzero(labels == 1).tolist():
+        positive[flat[edges[d] : edges[d + 1]]] = True
+    known = _known(number, at, positive)
+    pos = texts_with(1, len(at))
+    names = {f: i for f, i in at.items() if pos[i] >= 3}
+    known = _known(number, names)
+    neg = texts_with(0, len(at))
+    del number, at
+    cand = np.array(list(names.values()), np.int64)
+    p, q = (pos[cand] + 0.5) / (n1 + 1), (neg[cand] + 0.5) / (n0 + 1)
+    m = (pos[cand] + neg[cand] + 1) / (n1 + n0 + 2)
+    z = dict(zip(names, ((p - q) / np.sqrt(m * (1 - m) * (1 / n1 + 1 / n0) + 1e-12)).tolist()))
     best = sorted((f for f in z if z[f] > MIN_Z), key=lambda f: (-z[f], f))[:FEATURES]
     at = {f: i for i, f in enumerate(best)}
-    doc_of, s_of, f_of, k = [], [], [], 0  # doc of each sentence; sentence and feature of each entry
-    ids: dict[int, list[int]] = {}
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hit: set[int] = set()
-            for w in s.tolist():
-                if (x := ids.get(w)) is None:
-                    x = ids[w] = [at[f] for f in named[w] if f in at]
-                hit.update(x)
-            doc_of.append(d)
-            s_of.extend([k] * len(hit))
-            f_of.extend(sorted(hit))
-            k += 1
-    doc_of, s_of, f_of = (np.array(x, np.int64) for x in (doc_of, s_of, f_of))
+    rank = np.full(len(pos), -1, np.int32)
+    rank[[names[f] for f in best]] = np.arange(len(best))
+    of = rank[known[0]]
+    known = of[of >= 0], np.append(0, np.cumsum(of >= 0))[known[1]]
+    del names, z, of
+    s_of, f_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # sentence and feature of each entry
+    for i, j in runs(ends, 1 << 18):
+        f, n = _of_words(flat[ends[i] : ends[j]], known)
+        s = np.repeat(np.repeat(np.arange(i, j), np.diff(ends[i : j + 1])), n)
+        pair = np.unique(s * (len(best) + 1) + f)
+        s_of.append(pair // (len(best) + 1))
+        f_of.append(pair % (len(best) + 1))
+    doc_of, s_of, f_of = np.repeat(np.arange(len(bags)), bags), np.concatenate(s_of), np.concatenate(f_of)
+    del flat, known
     theta = np.zeros(len(best) + 1)
     theta[-1] = -6.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
@@ -147,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     def task(t: pa.Table) -> pa.Table:
         y, n = t.column("label").to_numpy(), t.column("n").to_numpy()
         share = np.array([n[y == v][0] / max(1, (y == v).sum()) if (y == v).any() else 0.0 for v in (0, 1)])
-        bias, w = fit(t.column("text").to_pylist(), y, share[y])
+        bias, w = fit((x.as_py() for x in t.column("text")), y, share[y])
         return pa.table({"f": pa.array(["", *w], pa.string()), "w": pa.array([bias, *w.values()], pa.float64())})
 
     got = sample(docs, labels, label, text, key, **bounds).groupBy().applyInArrow(task, "f string, w double").collect()

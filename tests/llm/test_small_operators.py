@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -286,6 +287,37 @@ def test_scores_are_those_of_sentences():
     assert score("") == (0.0, []) and score("...!") == (0.0, [])
 
 
+def test_training_holds_words_as_numbers():
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i * 7919 % 30011}x{i}" for i in range(30_000)])
+    texts = [". ".join(" ".join(vocabulary[s]) for s in rng.integers(0, len(vocabulary), (100, 8))) for _ in range(300)]
+    tracemalloc.start()
+    toxicity.fit(texts, np.arange(300) % 2, np.ones(300), steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 28e6  # 39 MB with an array a sentence and the features of every word
+
+
+def test_training_takes_the_associated_features():
+    rng = random.Random(4)
+    texts, y = ["", " . ;;\n", "...", "one"], [0, 1, 0, 1]
+    for i in range(160):
+        bad = ["VileFoe", "vilefoe", "vilest x", "Ünvile ünvile"][i % 4] if i % 3 == 0 else "fine"
+        texts.append(f"{words(rng, 5)}. {words(rng, 3)} {bad} {bad}!\n  {words(rng, 4)}? ")
+        y.append(int(i % 3 == 0))
+    of = [{f for w in toxicity.WORD.findall(t) for f in toxicity.features(w)} for t in texts]
+    n = [y.count(0), y.count(1)]
+    want = set()
+    for f in set().union(*of):
+        neg, pos = (sum(f in o for o, v in zip(of, y) if v == k) for k in (0, 1))
+        m = (pos + neg + 1) / (sum(n) + 2)
+        if pos >= 3 and ((pos + 0.5) / (n[1] + 1) - (neg + 0.5) / (n[0] + 1)) / (m * (1 - m) * (1 / n[0] + 1 / n[1])) ** 0.5 > toxicity.MIN_Z:
+            want.add(f)
+    bias, got = toxicity.fit(iter(texts), np.array(y), np.ones(len(y)), steps=1)
+    assert set(got) == want and {"=vilefoe", "^vil", "^vile"} <= want  # one step moves every feature that some sentence has
+    assert toxicity.fit(["a", "b"], np.array([0, 1]), np.ones(2), steps=1)[1] == {} and toxicity.fit(["a"], np.array([1]), np.ones(1)) == (-30.0, {})
+
+
 def test_quality_replaces_a_column_stats(spark):
     d = spark.createDataFrame([(1, "some text", "mine", "s")], "doc_id bigint, text string, stats string, score string")
     m = quality.measured(d, "text", ["doc_id", "stats", "score"])
