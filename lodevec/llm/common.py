@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -83,6 +84,26 @@ def partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- Arrow
 
 
+def trim() -> None:
+    """Give back to the system what tasks before have freed in this worker: workers stay, and so would their memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trimmed(run):
+    """run, a function of an iterator of record batches, that gives memory back before and after its task."""
+
+    def whole(batches):
+        trim()
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array as one uint8 array, and n + 1 offsets into it (null: empty)."""
     if isinstance(arr, pa.ChunkedArray):

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import U64, byte_codes, components, mix, partitions, runs, shingle_hashes, stage, text_id, unstage, utf8, word_hashes
+from lodevec.llm.common import U64, byte_codes, components, mix, partitions, runs, shingle_hashes, stage, text_id, trimmed, unstage, utf8, word_hashes
 
 N, THRESHOLD, TARGET, TREES, DEPTH, BITS = 3, 0.5, 0.95, 50, 6, 10
 BLOCK_DOCS, BLOCK_CHARS, HOT = 1000, 8_000_000, 48
@@ -274,7 +274,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N
                 met[i] = measure(b.column("text")[i].as_py(), abs(int(hashes[i])), codes, n, threshold, trees)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("a"), b.column("b"), blobs, pa.array(met, pa.int32())], ["doc_id", "a", "b", "sig", "met"])
 
-    one = d.mapInArrow(run, kind).groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("met").alias("met"))
+    one = d.mapInArrow(trimmed(run), kind).groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("met").alias("met"))
     return one.withColumn("node", F.monotonically_increasing_id())
 
 
@@ -328,7 +328,7 @@ def candidates(one: DataFrame, depth: int, trees: int = TREES, threshold: float
         us, vs = found.edges()
         return pa.table({"a": pa.array(us, pa.int64()), "b": pa.array(vs, pa.int64())})
 
-    sent = some.mapInArrow(send, "part int, entries binary")
+    sent = some.mapInArrow(trimmed(send), "part int, entries binary")
     return sent.repartition(min(parts, partitions(spark) * 4), "part").groupBy("part").applyInArrow(join, "a long, b long")
 
 
@@ -580,8 +580,8 @@ def across(members: DataFrame, n: int = N, threshold: float = THRESHOLD, most: i
                 cut, size = _groups(part)
                 yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array([_packed(x[i : i + k]) for i, k in zip(cut, size)], pa.binary())], ["part", "entries"])
 
-    sent = members.select("root", "node", "text").mapInArrow(send, "part int, entries binary").repartitionById(parts, "part")
-    pairs = sent.select("entries").mapInArrow(lambda batches: meetings(batches, threshold), "a long, b long, n long, need long")
+    sent = members.select("root", "node", "text").mapInArrow(trimmed(send), "part int, entries binary").repartitionById(parts, "part")
+    pairs = sent.select("entries").mapInArrow(trimmed(lambda batches: meetings(batches, threshold)), "a long, b long, n long, need long")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import stage, unstage
+from lodevec.llm.common import stage, trimmed, unstage
 
 SIZE, END, PIECES, SPREAD = 2048, 0, 250_000, 16
 
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
                 at += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
 
-    return d.mapInArrow(run, kind)
+    return d.mapInArrow(trimmed(run), kind)
 
 
 # ---------------------------------------------------------------- packing

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import runs
+from lodevec.llm.common import runs, trim, trimmed
 
 TRAIN_DOCS, TRAIN_CHARS, FEATURES, MIN_Z, STEPS, RIDGE = 4000, 20_000_000, 3000, 3.5, 250, 5e-5
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
@@ -176,9 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     """Fit in one task on the bounded sample; the model comes to the driver (at most FEATURES weights)."""
 
     def task(t: pa.Table) -> pa.Table:
+        trim()
         y, n = t.column("label").to_numpy(), t.column("n").to_numpy()
         share = np.array([n[y == v][0] / max(1, (y == v).sum()) if (y == v).any() else 0.0 for v in (0, 1)])
         bias, w = fit((x.as_py() for x in t.column("text")), y, share[y])
+        trim()
         return pa.table({"f": pa.array(["", *w], pa.string()), "w": pa.array([bias, *w.values()], pa.float64())})
 
     got = sample(docs, labels, label, text, key, **bounds).groupBy().applyInArrow(task, "f string, w double").collect()
@@ -240,7 +242,7 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]], text: str = "t
             arrays = [b.column(c) for c in keep] + [pa.array([g[0] for g in got], pa.float64()), pa.array([[dict(zip(("start", "length", "score"), s)) for s in g[1]] for g in got], span)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "score", "offending"])
 
-    return d.mapInArrow(run, out)
+    return d.mapInArrow(trimmed(run), out)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodevec.llm import ann, fingerprint, linededup, mixing, neardup, packing, pii, quality, repeats, toxicity
+from lodevec.llm import ann, common, fingerprint, linededup, mixing, neardup, packing, pii, quality, repeats, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, a string, group string"
 
@@ -298,6 +298,25 @@ def test_training_holds_words_as_numbers():
     assert peak < 28e6  # 39 MB with an array a sentence and the features of every word
 
 
+def test_a_task_gives_its_memory_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    pins = []
+
+    def run(batches):
+        for _ in batches:
+            many = [bytes(1000) for _ in range(200_000)]
+            pins.append(many[-1])  # a block behind those freed, as left by what a worker keeps
+            del many
+            yield held()
+
+    before = held()
+    during = list(common.trimmed(run)([1, 2]))
+    assert held() < before + 50 and max(during) > before + 100
+
+
 def test_training_takes_the_associated_features():
     rng = random.Random(4)
     texts, y = ["", " . ;;\n", "...", "one"], [0, 1, 0, 1]
