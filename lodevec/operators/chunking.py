@@ -19,6 +19,7 @@ MIN_CHUNK, MAX_CHUNK = 128, 65_536
 CODE = tuple("bash c cjs cpp cs fish go graphql h hpp java js jsx kt mjs php proto py rb rs scala sh sql swift ts tsx zsh".split())
 PROSE = ("md", "rst")
 _BLANK = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+SPACE = "\t\n\f\r "  # what \s is in SQL
 _ATX, _RULE = re.compile(r"#{1,6}\s"), re.compile(r"[=-]{3,}\s*$")
 
 Chunk = tuple[int, str]
@@ -36,8 +37,8 @@ def mode_of(path: Column, asked: str = "auto") -> Column:
     return F.when(ext.isin(*CODE), "line").when(ext.isin(*PROSE), "section").otherwise("paragraph")
 
 
-def char_windows(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """array<struct<offset,chunk>> of trimmed windows; blank ones are left out, a blank text is one empty window.
+def char_windows(text: Column, target: int = TARGET, overlap: int = OVERLAP, blank: str = _BLANK) -> Column:
+    """array<struct<offset,chunk>> of windows trimmed of `blank`; blank ones are left out, a blank text is one empty window.
 
     The text is cut into steps once, and a window is a step and the beginning of those after it, so
     that the work is linear in the text.
@@ -45,7 +46,7 @@ def char_windows(text: Column, target: int = TARGET, overlap: int = OVERLAP) ->
     step = max(1, target - overlap)
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - target) / F.lit(step))).cast("int")
     steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    trimmed = lambda c: F.btrim(c, F.lit(_BLANK))
+    trimmed = lambda c: F.btrim(c, F.lit(blank))
 
     def window(s: Column, i: Column) -> Column:
         rest = F.array_join(F.slice(s, i + 2, F.lit(-(-overlap // step))), "") if overlap > step else F.coalesce(F.get(s, i + 1), F.lit(""))
