@@ -142,12 +142,26 @@ def nfc(text: Column) -> Column:
     import pyarrow as pa
 
     def udf(v: pa.Array) -> pa.Array:
-        import unicodedata
-
-        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in v.to_pylist()], pa.string())
+        return normal(v)
 
     udf.__annotations__ = {"v": pa.Array, "return": pa.Array}
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(F.arrow_udf(udf, "string")(text))
+    is_ascii = text.rlike(r"^\p{ASCII}*$")
+    return F.when(is_ascii, text).otherwise(F.arrow_udf(udf, "string")(F.when(~is_ascii, text)))
+
+
+def normal(v, some: int = 96):
+    """An Arrow array of texts in normal form C. `some` texts at a time are Python objects, and those that are normal stay as they are."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    parts, changed = [], False
+    for i in range(0, len(v), some):
+        texts = v.slice(i, some).to_pylist()
+        own = [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+        parts.append(v.slice(i, some) if own == texts else pa.array(own, v.type))
+        changed |= own != texts
+    return pa.concat_arrays(parts) if changed else v
 
 
 # ---------------------------------------------------------------- tags

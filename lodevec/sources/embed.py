@@ -33,16 +33,21 @@ def hashing_embedder(dim: int = 384) -> Callable[[Column], Column]:
 
 
 def provider(embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = BATCH) -> Callable[[Column], Column]:
-    """Wrap a function of a batch of texts; it is called with at most `batch` texts, and its vectors' length is checked."""
+    """Wrap a function of a batch of texts; it is called with at most `batch` texts, and its vectors' length is checked.
+
+    Only those texts and their vectors are Python objects at a time, however many come in one Arrow batch.
+    """
+    kind = pa.list_(pa.float32())
 
     def run(texts: pa.Array) -> pa.Array:
-        values, out = [t or "" for t in texts.to_pylist()], []
-        for i in range(0, len(values), batch):
-            got = embed(values[i : i + batch])
-            if len(got) != len(values[i : i + batch]) or any(len(v) != dim for v in got):
+        out = [pa.array([], kind)]
+        for i in range(0, len(texts), batch):
+            values = [t or "" for t in texts.slice(i, batch).to_pylist()]
+            got = embed(values)
+            if len(got) != len(values) or any(len(v) != dim for v in got):
                 raise ValueError(f"the embedder must give one vector of {dim} components a text")
-            out += got
-        return pa.array(out, pa.list_(pa.float32()))
+            out.append(pa.array(got, kind))
+        return pa.concat_arrays(out)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<float>")

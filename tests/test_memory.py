@@ -1,8 +1,15 @@
+import gc
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodevec import __main__ as cli
+from lodevec.functions import text as T
 from lodevec.plans.memory import Memory
+from lodevec.sources import embed
 
 
 def test_memory(spark, tmp_path):
@@ -51,3 +58,33 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert '"count_live":1' in run("compact", c, tmp_path / "d")[1]
     assert run("delete", c, 0)[1].strip() == "1"
     assert '"changes": []' in run("upgrade", c)[1]
+
+
+def _most_python(f, *args):
+    """MB of Python objects at most while f runs, and what it returns; Arrow's memory isn't among them."""
+    gc.collect()
+    tracemalloc.start()
+    try:
+        out = f(*args)
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_an_arrow_batch_is_not_python_objects_at_once(spark):
+    """Texts of 20 MB come in one Arrow batch; an embedder and the normal form take a few at a time."""
+    words = ["x" * 2000 + str(i) for i in range(10_000)]
+    most, got = _most_python(embed.provider(lambda t: [[float(len(x)), 1.0] for x in t], 2).func, pa.array([*words, None]))
+    assert most < 4 and got.to_pylist() == [*([float(len(w)), 1.0] for w in words), [0.0, 1.0]]
+    texts = pa.array([None, *words, "e" + chr(0x301)] * 2)
+    most, got = _most_python(T.normal, texts)
+    assert most < 4 and got.equals(pa.array([None, *words, chr(0xE9)] * 2))
+    assert T.normal(texts[:0]).to_pylist() == []
+
+
+def test_ascii_texts_stay_out_of_python(spark):
+    texts = [None, "", "plain", "e" + chr(0x301), "plain too", chr(0xE9), "line\n"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2).select("id", T.nfc(F.col("t")).alias("n"))
+    assert [r["n"] for r in d.orderBy("id").collect()] == [None, "", "plain", chr(0xE9), "plain too", chr(0xE9), "line\n"]
+    asked = next(x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in x)
+    assert asked.split("udf(", 1)[1].startswith("CASE WHEN NOT RLIKE(")
